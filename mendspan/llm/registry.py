@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-from mendspan.llm import language, licenses, mixing, topk
+from mendspan.llm import language, licenses, mixing, passages, topk
 
 QUERIES = {
     "op2_topk": topk.op2_topk,
     "op4_mixing": mixing.op4_mixing,
     "op5_language": language.op5_language,
+    "op6_passages": passages.op6_passages,
     "op10_licenses": licenses.op10_licenses,
 }
 
 ORACLE_SQL = {
     "op2_topk": topk.OP2_SQL,
     "op4_mixing": mixing.OP4_SQL,
+    "op6_passages": passages.OP6_SQL,
 }
