@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from mendspan.llm import language, licenses, mixing, passages, topk
+from mendspan.llm import chosen_path, language, licenses, mixing, passages, topk
 
 QUERIES = {
     "op2_topk": topk.op2_topk,
     "op4_mixing": mixing.op4_mixing,
     "op5_language": language.op5_language,
     "op6_passages": passages.op6_passages,
+    "op8_jaccard_join": chosen_path.op8_jaccard_join,
     "op10_licenses": licenses.op10_licenses,
 }
 
@@ -16,4 +17,5 @@ ORACLE_SQL = {
     "op2_topk": topk.OP2_SQL,
     "op4_mixing": mixing.OP4_SQL,
     "op6_passages": passages.OP6_SQL,
+    "op8_jaccard_join": chosen_path.OP8_SQL,
 }
