@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from mendspan.llm import chosen_path, language, licenses, mixing, passages, topk
+from mendspan.llm import chosen_path, language, licenses, mixing, passages, perplexity, templates, topk
 
 QUERIES = {
     "op2_topk": topk.op2_topk,
     "op4_mixing": mixing.op4_mixing,
     "op5_language": language.op5_language,
     "op6_passages": passages.op6_passages,
+    "op7_quality": perplexity.op7_quality,
     "op8_jaccard_join": chosen_path.op8_jaccard_join,
+    "op9_decontaminate": templates.op9_decontaminate,
     "op10_licenses": licenses.op10_licenses,
 }
 
