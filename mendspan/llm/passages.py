@@ -2,13 +2,13 @@
 
 1. Anchors. Of the 7-grams inside each window the one of smallest hash is its anchor, so equal windows have equal
    anchors. One pass hashes all whole texts and keeps one 7-gram in about seven.
-2. Anchors that occur twice or more are found by counting hashes, and joined back to their places. Exact copies of a
-   smaller id's text, found by digest, need no more than that; the other documents with such places are candidates.
-3. Confirming and locating. Around each place the words of its windows form a segment. Segments are dealt over
-   bounded shards by anchor, where windows that stand there twice are confirmed as passages; the shard's passages
-   are compiled into one Aho-Corasick automaton over words, and all its segments are streamed through it to find
-   every occurrence, of which all but the first are removed. An anchor's places all meet in one shard, so the first
-   one is the corpus's first. Anchors with more than ``HOT`` places don't meet in a task: their windows' earliest
+2. Exact copies of a smaller id's text are found by digest and lose all their words. Anchors that occur in two
+   different texts, or twice in one, are found by counting hashes, and joined back to their places.
+3. Confirming and locating. The windows that a place is the anchor of form a segment of words. Segments are dealt
+   over bounded shards by anchor, where windows that stand there twice are confirmed as passages; the shard's
+   passages are compiled into one Aho-Corasick automaton over words, and its segments are streamed through it to
+   find every occurrence, of which all but the first are removed. An anchor's places all meet in one shard, so the
+   first one is the corpus's first. Anchors with more than ``HOT`` places don't meet in a task: their windows' earliest
    places are summed up by 128-bit hash instead, which combines before the shuffle, and joined back.
 4. Documents drop the words that the removed windows cover.
 
@@ -35,7 +35,7 @@ from mendspan.llm.words import batches, buffers, gram_hashes, spans, word_hashes
 
 WINDOW, GRAM = 20, 7
 #: Places from which on an anchor is summed up by hash, and segments in a shard.
-HOT, SHARD = 1000, 20_000
+HOT, SHARD = 20_000, 20_000
 LAST = (1 << 63) - 1
 
 
@@ -64,12 +64,19 @@ def _hashed(column, window: int, gram: int):
 
 
 def _anchors(batch_iter, window: int, gram: int):
+    """(anchor, key, pos, digest, again): the document's digest, and whether its anchor stands in it more than once."""
     for batch in batches(batch_iter):
         _, of, first, grams = _hashed(batch.column(1), window, gram)
         chosen = window_anchors(grams, of, window, gram) if len(of) >= window else np.zeros(0, dtype=np.int64)
         at = np.unique(chosen[chosen >= 0])
-        keys = batch.column(0).to_numpy(zero_copy_only=False)
-        yield pa.RecordBatch.from_arrays([pa.array(grams[at].view(np.int64)), pa.array(keys[of[at]]), pa.array(at - first[of[at]])], ["anchor", "key", "pos"])
+        anchor, doc = grams[at].view(np.int64), of[at]
+        order = np.lexsort((anchor, doc))
+        twin = (anchor[order][1:] == anchor[order][:-1]) & (doc[order][1:] == doc[order][:-1])
+        again = np.zeros(len(at), dtype=bool)
+        again[order[1:][twin]] = True
+        again[order[:-1][twin]] = True
+        keys, digests = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 2))
+        yield pa.RecordBatch.from_arrays([pa.array(anchor), pa.array(keys[doc]), pa.array(at - first[doc]), pa.array(digests[doc]), pa.array(again)], ["anchor", "key", "pos", "digest", "again"])
 
 
 def _sorted_out(batch_iter, window: int):
@@ -89,22 +96,25 @@ def _sorted_out(batch_iter, window: int):
 
 
 def _segments(batch_iter, window: int, gram: int):
-    """(anchor, key, start, words): the words of all windows around each place that isn't hot."""
+    """(anchor, key, start, words): the stretch of the windows that have a place as anchor, for each that isn't hot."""
     for batch in batches(batch_iter):
-        _, _, first, grams = _hashed(batch.column(1), window, gram)
-        anchor, key, start, text = [], [], [], []
-        for i, (k, t, places) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)):
-            words = t.encode().split()
-            for code in places:
-                if code & 1:
-                    continue
-                at = code >> 1
-                begin = max(0, at - window + gram)
-                anchor.append(int(grams[first[i] + at].view(np.int64)))
-                key.append(k)
-                start.append(begin)
-                text.append(b" ".join(words[begin : at + window]))
-        yield pa.RecordBatch.from_arrays([pa.array(anchor, pa.int64()), pa.array(key, pa.int64()), pa.array(start, pa.int64()), pa.array(text, pa.binary()).cast(pa.string())], ["anchor", "key", "start", "words"])
+        raw, offsets = buffers(batch.column(1))
+        starts, ends, of = spans(raw, offsets)
+        first = np.searchsorted(of, np.arange(batch.num_rows))
+        grams = gram_hashes(word_hashes(raw, starts, ends), gram)
+        chosen = window_anchors(grams, of, window, gram)
+        wanted = np.zeros(len(grams) + 1, dtype=bool)
+        for i, places in enumerate(batch.column(2).to_pylist()):
+            wanted[[first[i] + (x >> 1) for x in places if not x & 1]] = True
+        begin = np.flatnonzero(np.concatenate([[True], chosen[1:] != chosen[:-1]]))  # windows of one anchor follow each other
+        end = np.append(begin[1:], len(chosen)) - 1
+        good = (chosen[begin] >= 0) & wanted[chosen[begin]]
+        begin, end = begin[good], end[good]
+        data = raw.tobytes()
+        text = [data[a:b] for a, b in zip(starts[begin].tolist(), ends[end + window - 1].tolist(), strict=True)]
+        keys = batch.column(0).to_numpy(zero_copy_only=False)
+        doc = of[begin]
+        yield pa.RecordBatch.from_arrays([pa.array(grams[chosen[begin]].view(np.int64)), pa.array(keys[doc]), pa.array(begin - first[doc]), pa.array(text, pa.binary()).cast(pa.string())], ["anchor", "key", "start", "words"])
 
 
 def _hot_windows(batch_iter, window: int, gram: int):
@@ -121,50 +131,58 @@ def _hot_windows(batch_iter, window: int, gram: int):
         yield pa.RecordBatch.from_arrays([pa.array(whole[at].view(np.int64)), pa.array(grams[chosen[at]].view(np.int64)), pa.array(keys[of[at]]), pa.array(at - first[of[at]])], ["hash", "anchor", "key", "start"])
 
 
-def _locate(shard: pd.DataFrame, window: int) -> pd.DataFrame:
-    """Confirmed passages of a shard, compiled and found in its segments: starts of the windows that stand earlier elsewhere."""
+def _locate(keys: np.ndarray, starts: np.ndarray, words: np.ndarray, of: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """Confirmed passages of a shard, compiled and found in its segments: (key, start) of the windows that stand earlier elsewhere.
+
+    Segments come in the order of the corpus; ``words`` are their words' hashes, ``of`` the segment of each word.
+    """
     import ahocorasick
 
-    segments = shard.sort_values(["key", "start"], kind="stable")
-    split = [x.split(" ") for x in segments["words"]]
-    sizes = np.array([len(x) for x in split])
-    coded, _ = pd.factorize(np.array([w for x in split for w in x], dtype=object))
-    offsets = np.concatenate([[0], np.cumsum(sizes)])
-    of = np.repeat(np.arange(len(split)), sizes)
-    n = max(0, len(coded) - window + 1)
-    inside = np.flatnonzero(of[:n] == of[window - 1 : window - 1 + n])
-    keys, starts = segments["key"].to_numpy(), segments["start"].to_numpy()
-    seen = pd.DataFrame({"hash": gram_hashes(coded.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(1), window)[inside], "at": inside, "key": keys[of[inside]], "start": starts[of[inside]] + inside - offsets[of[inside]]})
-    seen = seen.drop_duplicates(["hash", "key", "start"])  # neighbouring segments overlap
-    repeated = seen[seen["hash"].duplicated(keep=False)].drop_duplicates("hash")
-    nothing = pd.DataFrame({"key": [], "start": []}).astype("int64")
-    if repeated.empty:
-        return nothing
+    codes = pd.factorize(words)[0]
+    grams = gram_hashes(words, window)
+    inside = np.flatnonzero(of[: len(grams)] == of[window - 1 : window - 1 + len(grams)])
+    _, at, which, count = np.unique(grams[inside], return_index=True, return_inverse=True, return_counts=True)
+    passages = inside[at[count > 1]]
+    if not len(passages):
+        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+    listed = codes.tolist()
     automaton = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
-    codes = coded.tolist()
-    for at in repeated["at"].tolist():
-        automaton.add_word(tuple(codes[at : at + window]), at)
+    for number, x in enumerate(passages.tolist()):
+        automaton.add_word(tuple(listed[x : x + window]), number)
     automaton.make_automaton()
-    found_key, found_start = [], []
-    first: dict[int, tuple[int, int]] = {}
-    for i, (key, start) in enumerate(zip(keys.tolist(), starts.tolist(), strict=True)):  # in the order of the corpus
-        for end, passage in automaton.iter(tuple(codes[offsets[i] : offsets[i + 1]])):
-            here = (key, start + end - window + 1)
-            if first.setdefault(passage, here) != here:
-                found_key.append(here[0])
-                found_start.append(here[1])
-    return pd.DataFrame({"key": found_key, "start": found_start}).astype("int64") if found_key else nothing
-
-
-def _stretches(found: pd.DataFrame, window: int) -> pd.DataFrame:
+    met = np.unique(of[inside[count[which] > 1]])  # the other segments hold no passage
+    offsets = np.searchsorted(of, np.arange(len(keys) + 1))
+    seen = [False] * len(passages)
+    segment, end_word = [], []
+    for i in met.tolist():
+        for end, passage in automaton.iter(tuple(listed[offsets[i] : offsets[i + 1]])):
+            if seen[passage]:
+                segment.append(i)
+                end_word.append(end)
+            else:
+                seen[passage] = True
+    segment = np.array(segment, dtype=np.int64)
+    return keys[segment], starts[segment] + np.array(end_word, dtype=np.int64) - window + 1
+
+
+def _stretches(key: np.ndarray, start: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Removed windows as stretches of words: neighbours joined."""
-    found = found.drop_duplicates().sort_values(["key", "start"])
-    key, start = found["key"].to_numpy(np.int64), found["start"].to_numpy(np.int64)
+    order = np.lexsort((start, key))
+    key, start = key[order], start[order]
     new = np.ones(len(key), dtype=bool)
     new[1:] = (key[1:] != key[:-1]) | (start[1:] > start[:-1] + window)
     at = np.flatnonzero(new)
     last = np.append(at[1:], len(key)) - 1 if len(at) else at
-    return pd.DataFrame({"key": key[at], "begin": start[at], "end": start[last] + window})
+    return key[at], start[at], start[last] + window
+
+
+def _located(shard: pa.Table, window: int) -> pa.Table:
+    shard = shard.sort_by([("key", "ascending"), ("start", "ascending")])
+    raw, offsets = buffers(shard["words"])
+    starts, ends, of = spans(raw, offsets)
+    keys, begins = (shard[x].to_numpy() for x in ("key", "start"))
+    found = _stretches(*_locate(keys, begins, word_hashes(raw, starts, ends), of, window), window)
+    return pa.table(dict(zip(("key", "begin", "end"), found, strict=True)))
 
 
 def _removed(batch_iter):
@@ -185,9 +203,10 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, hot:
     """(doc_id, n_words, n_removed, kept_sha256), one row a document, from (doc_id, text)."""
     size = dict(window=window, gram=gram)
     docs = docs.select(docs["doc_id"], docs["text"]).withColumn("key", F.coalesce("doc_id", F.lit(LAST)))
-    anchors = written(docs.select("key", "text").mapInArrow(partial(_anchors, **size), "anchor long, key long, pos long"))
-    twice = written(anchors.groupBy("anchor").agg(F.count("*").alias("n")).filter("n > 1").select("anchor", (F.col("n") > hot).cast("long").alias("hot")))
-    places = written(anchors.join(twice, "anchor").groupBy("key").agg(F.collect_list(F.col("pos") * 2 + F.col("hot")).alias("places")))
+    anchors = written(docs.select("key", "text", F.xxhash64("text").alias("digest")).mapInArrow(partial(_anchors, **size), "anchor long, key long, pos long, digest long, again boolean"))
+    counted = anchors.groupBy("anchor").agg(F.count("*").alias("n"), (F.max("again") | (F.min("digest") != F.max("digest"))).alias("repeats"))
+    twice = written(counted.filter("repeats").select("anchor", (F.col("n") > hot).cast("long").alias("hot")))
+    places = written(anchors.select("anchor", "key", "pos").join(twice, "anchor").groupBy("key").agg(F.collect_list(F.col("pos") * 2 + F.col("hot")).alias("places")))
     firsts = docs.groupBy(F.md5("text").alias("digest")).agg(F.min("key").alias("key")).select("key", F.lit(True).alias("first"))
     known = firsts.join(places, "key", "full")
     told = docs.join(known, "key", "left").select("key", "text", F.coalesce("first", F.lit(False)).alias("first"), "places", "doc_id")
@@ -196,7 +215,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, hot:
     n = places.agg(F.sum(F.size("places"))).first()[0] or 0
     segments = candidates.select("key", "text", "places").mapInArrow(partial(_segments, **size), "anchor long, key long, start long, words string")
     dealt = segments.withColumn("shard", F.pmod(F.xxhash64("anchor"), F.lit(max(1, -(-n // shard_rows)))))
-    located = dealt.groupBy("shard").applyInPandas(partial(_located, window=window), "key long, begin long, end long")
+    located = dealt.groupBy("shard").applyInArrow(lambda shard: _located(shard, window), "key long, begin long, end long")
     warm = candidates.filter(F.exists("places", lambda x: x.bitwiseAND(F.lit(1)) == 1)).select("key", "text", "places").mapInArrow(partial(_hot_windows, **size), "hash long, anchor long, key long, start long")
     in_doc = written(warm.groupBy("hash", "anchor", "key").agg(F.min("start").alias("first_start"), F.collect_list("start").alias("starts")))
     earliest = written(in_doc.groupBy("hash", "anchor").agg(F.min("key").alias("first_key")))
@@ -208,10 +227,6 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, hot:
     return sorted_out.filter("text IS NULL").select(*names).unionByName(changed.select(*names))
 
 
-def _located(shard: pd.DataFrame, window: int) -> pd.DataFrame:
-    return _stretches(_locate(shard, window), window)
-
-
 def op6_passages(spark, sf_dir: str) -> DataFrame:
     bounded_batches(spark)
     return remove_repeats(table(spark, sf_dir, "documents"))
