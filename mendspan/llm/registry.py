@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from mendspan.llm import chosen_path, language, licenses, mixing, passages, perplexity, templates, topk
+from mendspan.llm import chosen_path, language, licenses, lines, mixing, passages, perplexity, templates, topk
 
 QUERIES = {
     "op2_topk": topk.op2_topk,
+    "op3_lines": lines.op3_lines,
     "op4_mixing": mixing.op4_mixing,
     "op5_language": language.op5_language,
     "op6_passages": passages.op6_passages,
