@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from mendspan.llm.common import bounded_batches, table
+from mendspan.llm.common import bounded_batches, table, written
 from mendspan.llm.words import batches, buffers
 
 ALPHABET, BEYOND = 128, 32
@@ -101,11 +101,11 @@ def train(trusted: DataFrame) -> np.ndarray:
 
 def _score(batch_iter, model):
     for batch in batches(batch_iter):
-        cells, (begin, end) = _cells(batch.column(1))
+        cells, (begin, end) = _cells(batch.column(2))
         total = np.concatenate([[0.0], np.cumsum(model.value[cells], dtype=np.float64)])
         n = end - begin
         mean = np.where(n > 0, -(total[np.minimum(end, len(cells))] - total[np.minimum(begin, len(cells))]) / np.maximum(n, 1), 0.0)
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(n), pa.array(mean, mask=n == 0)], ["doc_id", "lang", "n_symbols", "mean"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(3), pa.array(n), pa.array(mean, mask=n == 0)], ["doc_id", "lang", "blank", "n_symbols", "mean"])
 
 
 def limits(scored: DataFrame, lower: float = LOWER, upper: float = UPPER, fence: float = FENCE, step: float = 1e-3) -> DataFrame:
@@ -123,27 +123,19 @@ def classify(docs: DataFrame, trusted_ids: DataFrame) -> DataFrame:
     """(doc_id, perplexity, limit, kept) for every row of (doc_id, text, lang); ``trusted_ids``: the ids (doc_id) of trusted text."""
     ids = trusted_ids.select(trusted_ids["doc_id"].alias("trusted_id")).filter("trusted_id IS NOT NULL").distinct()
     plain = docs.select(docs["doc_id"], docs["text"], docs["lang"])
-    model = docs.sparkSession.sparkContext.broadcast(train(plain.join(ids, F.col("doc_id") == F.col("trusted_id"), "left_semi")))
-    scored = plain.mapInArrow(partial(_score, model=model), "doc_id long, lang string, n_symbols long, mean double")
-    known = limits(scored.join(ids, F.col("doc_id") == F.col("trusted_id"), "left_semi"))
+    is_trusted = F.col("doc_id") == F.col("trusted_id")
+    ids = ids.hint("merge")  # ids grow with the corpus: never broadcast, whatever the size at hand
+    model = docs.sparkSession.sparkContext.broadcast(train(plain.join(ids, is_trusted, "left_semi")))
+    blank = ~F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    scored = written(plain.select("doc_id", "lang", "text", blank.alias("blank")).mapInArrow(partial(_score, model=model), "doc_id long, lang string, blank boolean, n_symbols long, mean double"))
+    known = limits(scored.join(ids, is_trusted, "left_semi"))
     whole = known.filter("lang IS NULL").select(F.col("limit").alias("whole"))
     of_lang = known.filter("lang IS NOT NULL").select(F.col("lang").alias("l"), "limit")
-    blank = plain.select("doc_id", "lang", "text")
-    scored = blank.withColumn("blank", ~F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))).mapInArrow(partial(_score_all, model=model), "doc_id long, lang string, blank boolean, n_symbols long, mean double")
     joined = scored.join(of_lang, F.col("lang") == F.col("l"), "left").join(whole, F.lit(True), "left")
     limit = F.coalesce("limit", "whole", F.lit(float("inf"))) + SPREAD / F.sqrt(F.greatest(F.col("n_symbols"), F.lit(1)))
     return joined.select("doc_id", F.when(~F.col("blank"), F.exp("mean")).alias("perplexity"), F.exp(limit).alias("limit"), (~F.col("blank") & (F.col("mean").isNull() | (F.col("mean") <= limit))).alias("kept"))
 
 
-def _score_all(batch_iter, model):
-    def columns(x):
-        return pa.RecordBatch.from_arrays([x.column(0), x.column(2), x.column(1)], ["doc_id", "text", "lang"])
-
-    for batch in batches(batch_iter):
-        done = next(_score(iter([columns(batch)]), model))
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(3), done.column(2), done.column(3)], ["doc_id", "lang", "blank", "n_symbols", "mean"])
-
-
 def trusted(labels: DataFrame) -> DataFrame:
     """Ids whose labels call them good and none calls them bad or toxic."""
     return labels.groupBy("doc_id").agg(F.min("quality").alias("q"), F.max("toxic").alias("t")).filter("q = 1 AND t = 0").select("doc_id")
