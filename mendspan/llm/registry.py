@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from mendspan.llm import chosen_path, language, licenses, lines, mixing, passages, perplexity, templates, topk
+from mendspan.llm import chosen_path, language, licenses, lines, mixing, passages, perplexity, private, templates, topk
 
 QUERIES = {
+    "op1_private": private.op1_private,
     "op2_topk": topk.op2_topk,
     "op3_lines": lines.op3_lines,
     "op4_mixing": mixing.op4_mixing,
