@@ -105,7 +105,7 @@ def _score(batch_iter, model):
         total = np.concatenate([[0.0], np.cumsum(model.value[cells], dtype=np.float64)])
         n = end - begin
         mean = np.where(n > 0, -(total[np.minimum(end, len(cells))] - total[np.minimum(begin, len(cells))]) / np.maximum(n, 1), 0.0)
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(3), pa.array(n), pa.array(mean, mask=n == 0)], ["doc_id", "lang", "blank", "n_symbols", "mean"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(3), batch.column(4), pa.array(n), pa.array(mean, mask=n == 0)], ["doc_id", "lang", "blank", "digest", "n_symbols", "mean"])
 
 
 def limits(scored: DataFrame, lower: float = LOWER, upper: float = UPPER, fence: float = FENCE, step: float = 1e-3) -> DataFrame:
@@ -120,20 +120,20 @@ def limits(scored: DataFrame, lower: float = LOWER, upper: float = UPPER, fence:
 
 
 def classify(docs: DataFrame, trusted_ids: DataFrame) -> DataFrame:
-    """(doc_id, perplexity, limit, kept) for every row of (doc_id, text, lang); ``trusted_ids``: the ids (doc_id) of trusted text."""
+    """(doc_id, digest, perplexity, limit, kept) for every row of (doc_id, text, lang); ``digest`` is the text's; ``trusted_ids``: the ids (doc_id) of trusted text."""
     ids = trusted_ids.select(trusted_ids["doc_id"].alias("trusted_id")).filter("trusted_id IS NOT NULL").distinct()
     plain = docs.select(docs["doc_id"], docs["text"], docs["lang"])
     is_trusted = F.col("doc_id") == F.col("trusted_id")
     ids = ids.hint("merge")  # ids grow with the corpus: never broadcast, whatever the size at hand
     model = docs.sparkSession.sparkContext.broadcast(train(plain.join(ids, is_trusted, "left_semi")))
     blank = ~F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
-    scored = written(plain.select("doc_id", "lang", "text", blank.alias("blank")).mapInArrow(partial(_score, model=model), "doc_id long, lang string, blank boolean, n_symbols long, mean double"))
+    scored = written(plain.select("doc_id", "lang", "text", blank.alias("blank"), F.xxhash64("text").alias("digest")).mapInArrow(partial(_score, model=model), "doc_id long, lang string, blank boolean, digest long, n_symbols long, mean double"))
     known = limits(scored.join(ids, is_trusted, "left_semi"))
     whole = known.filter("lang IS NULL").select(F.col("limit").alias("whole"))
     of_lang = known.filter("lang IS NOT NULL").select(F.col("lang").alias("l"), "limit")
     joined = scored.join(of_lang, F.col("lang") == F.col("l"), "left").join(whole, F.lit(True), "left")
     limit = F.coalesce("limit", "whole", F.lit(float("inf"))) + SPREAD / F.sqrt(F.greatest(F.col("n_symbols"), F.lit(1)))
-    return joined.select("doc_id", F.when(~F.col("blank"), F.exp("mean")).alias("perplexity"), F.exp(limit).alias("limit"), (~F.col("blank") & (F.col("mean").isNull() | (F.col("mean") <= limit))).alias("kept"))
+    return joined.select("doc_id", "digest", F.when(~F.col("blank"), F.exp("mean")).alias("perplexity"), F.exp(limit).alias("limit"), (~F.col("blank") & (F.col("mean").isNull() | (F.col("mean") <= limit))).alias("kept"))
 
 
 def trusted(labels: DataFrame) -> DataFrame:
@@ -143,4 +143,4 @@ def trusted(labels: DataFrame) -> DataFrame:
 
 def op7_quality(spark, sf_dir: str) -> DataFrame:
     bounded_batches(spark)
-    return classify(table(spark, sf_dir, "documents"), trusted(table(spark, sf_dir, "labels")))
+    return classify(table(spark, sf_dir, "documents"), trusted(table(spark, sf_dir, "labels"))).drop("digest")
