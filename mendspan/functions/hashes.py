@@ -6,6 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Bytes read from either end of a file that is larger than both.
 EDGE = 65536
@@ -23,7 +24,7 @@ def quick_digest(content: Column, size: Column) -> Column:
     return F.md5(quick_bytes(content, size))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def xxh64(data: pd.Series) -> pd.Series:
     """XXH64, seed 0, as 16 hex digits: the built-in one has another seed."""
     import xxhash
