@@ -1,7 +1,7 @@
 """Every registered media-library query against its SQL."""
 
 import pytest
-from conftest import SF, same
+from oracle import SF, same
 
 from mendspan.plans import registry
 
