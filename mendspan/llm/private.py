@@ -93,7 +93,9 @@ def instances(spans: DataFrame) -> DataFrame:
     both = tokens.select("_doc", "_digest", "start", "end", "token", "before", "after", F.lit(None).cast("long").alias("s"), F.lit(None).cast("long").alias("e")).unionByName(base.select("_doc", "_digest", F.col("s").alias("start"), "s", "e"), allowMissingColumns=True)
     order = Window.partitionBy("_doc", "_digest").orderBy("start", F.col("token").isNotNull())
     reach = F.max("e").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    following = F.first("s", ignorenulls=True).over(order.rowsBetween(Window.currentRow, Window.unboundedFollowing))
+    # read backwards, since a frame that shrinks would be summed anew for each row
+    back = Window.partitionBy("_doc", "_digest").orderBy(F.desc("start"), F.col("token").isNotNull().desc())
+    following = F.last("s", ignorenulls=True).over(back.rowsBetween(Window.unboundedPreceding, Window.currentRow))
     latest = F.last("s", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
     marked = both.withColumn("reach", reach).withColumn("following", following).withColumn("latest", latest).filter("token IS NOT NULL")
     starts_in = F.coalesce((F.col("latest") == F.col("start")) | (F.col("following") < F.col("end")), F.lit(False))
