@@ -48,7 +48,7 @@ def _tree(spark, sf_dir):
     return directories.rollup(directories.discover(pages(spark, sf_dir)))
 
 
-@query(_T + "SELECT relpath, regexp_extract(relpath, '[^/]*$') AS name, CASE WHEN relpath = '' THEN 0 ELSE len(string_split(relpath, '/')) END AS depth, CASE WHEN relpath <> '' THEN regexp_replace(regexp_replace(relpath, '[^/]*$', ''), '/$', '') END AS parent, own_total, own_media, total_files, media_files, flagged FROM tree")
+@query(_T + "SELECT relpath, regexp_extract(relpath, '[^/]*$') AS name, CAST(CASE WHEN relpath = '' THEN 0 ELSE len(string_split(relpath, '/')) END AS INTEGER) AS depth, CASE WHEN relpath <> '' THEN regexp_replace(regexp_replace(relpath, '[^/]*$', ''), '/$', '') END AS parent, own_total, own_media, total_files, media_files, flagged FROM tree")
 def dir_rollup(spark, sf_dir):
     return _tree(spark, sf_dir)
 
