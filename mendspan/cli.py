@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import argparse
 import json
+import os
 
 from pyspark.sql import SparkSession
 
@@ -53,9 +54,26 @@ def parser() -> argparse.ArgumentParser:
     return p
 
 
+def cores(args: argparse.Namespace) -> int:
+    """Cores of a local session: by the preset, or ``--cpu`` per cent of them."""
+    share = args.cpu / 100 if getattr(args, "cpu", None) else THROTTLES[getattr(args, "throttle", "fullspeed")]
+    return max(1, int((os.cpu_count() or 1) * share))
+
+
+def session(args: argparse.Namespace) -> SparkSession:
+    """The session of ``spark-submit``, or a local one of so many cores."""
+    builder = SparkSession.builder.appName("mendspan").config("spark.sql.session.timeZone", "UTC")
+    if "PYSPARK_GATEWAY_PORT" not in os.environ and "PYSPARK_SUBMIT_ARGS" not in os.environ:
+        builder = builder.master(f"local[{cores(args)}]")
+        if getattr(args, "ram", None):
+            total = os.sysconf("SC_PAGE_SIZE") * os.sysconf("SC_PHYS_PAGES") >> 20
+            builder = builder.config("spark.driver.memory", f"{max(1024, int(total * args.ram / 100))}m")
+    return builder.getOrCreate()
+
+
 def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> int:
     args = parser().parse_args(argv)
-    spark = spark or SparkSession.builder.appName("mendspan").config("spark.sql.session.timeZone", "UTC").getOrCreate()
+    spark = spark or session(args)
     spark.sparkContext.setLogLevel(args.log_level)
     library = Library(Store(spark, args.db))
     run = {

@@ -36,7 +36,7 @@ class Library:
         """Indexes media files of a tree; directories that were read whole are marked, and left out next time."""
         now = F.lit(now_iso())
         serial = mediatree.volume_serial(source)
-        drive = self.spark.createDataFrame([(serial, label or "drive", source)], "volume_serial string, label string, source_root string")
+        drive = self.spark.createDataFrame([(serial, label or mediatree.volume_label(source), source)], "volume_serial string, label string, source_root string")
         self.store.commit("drives", catalog.upsert_drives(self.store.read("drives"), drive, now))
         drive_id = F.conv(F.substring(F.sha2(F.lit(serial), 256), 1, 15), 16, 10).cast("long")
         done = self.store.read("scanned_dirs").filter(F.col("drive_id") == drive_id)

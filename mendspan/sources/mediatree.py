@@ -102,3 +102,11 @@ def volume_serial(path: str) -> str:
         return f"dev-{os.stat(path).st_dev:x}"
     except OSError:
         return "unknown"
+
+
+def volume_label(path: str) -> str:
+    """A label for a volume that was given none: the last name of its mount point, or ``drive``."""
+    place = os.path.abspath(path)
+    while not os.path.ismount(place):
+        place = os.path.dirname(place)
+    return os.path.basename(place) or "drive"

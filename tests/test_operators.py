@@ -5,7 +5,7 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
-from mendspan.cli import main
+from mendspan.cli import cores, main, parser
 from mendspan.operators import catalog, clusters, directories, organize, select
 from mendspan.operators.graph import connected_components
 from mendspan.plans.library import Library
@@ -181,6 +181,13 @@ def test_library(spark, album, tmp_path, capsys):
     assert library.status()["total_files"] == 6
 
 
+def test_throttles():
+    n = os.cpu_count()
+    shares = {("--throttle", "background"): 0.25, ("--throttle", "fullspeed"): 1.0, ("--cpu", "50"): 0.5, (): 0.75}
+    assert all(cores(parser().parse_args(["quickhash", *a])) == max(1, int(n * share)) for a, share in shares.items())
+    assert cores(parser().parse_args(["status"])) == n
+
+
 def test_exif_reader():
     from mendspan.sources.exif import exif_tags
 
