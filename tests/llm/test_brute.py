@@ -343,3 +343,18 @@ def test_pipeline_stages(spark, tmp_path):
         assert out.columns == columns
         assert out.join(docs, "doc_id", "left_anti").isEmpty()
         docs = out
+
+
+def removed_copies(spark, lines_, copies):
+    """How many of the copies, one in a document after the lines' own, are removed."""
+    rows = lines.dedup_lines(frame(spark, ["\n".join(lines_), *copies])).collect()
+    assert all(r["n_removed"] == 0 for r in rows if r["doc_id"] == 0)
+    return sum(r["n_removed"] for r in rows)
+
+
+def test_lines_of_crowded_buckets_are_all_met(spark):
+    """Hashes of one bucket in an order that keeps each line's copy away from it, more lines than a block holds."""
+    rng = random.Random(1)
+    base = [f"every line begins alike {prose(rng, 16, 3000)}".split() for _ in range(600)]
+    copies = [" ".join(w if j % 5 != 4 else f"new{i}x{j}" for j, w in enumerate(x)) for i, x in enumerate(base)]
+    assert removed_copies(spark, [" ".join(x) for x in base], copies) >= 594
