@@ -352,6 +352,17 @@ def removed_copies(spark, lines_, copies):
     return sum(r["n_removed"] for r in rows)
 
 
+@pytest.mark.parametrize("n", [5, 10, 30, 60])
+def test_lines_at_the_threshold_are_met(spark, n):
+    rng = random.Random(n)
+    base = [prose(rng, n, 3000).split() for _ in range(60)]
+    copies = []
+    for i, words in enumerate(base):
+        gone = set(rng.sample(range(n), n // 5))
+        copies.append(" ".join(f"other{i}x{j}" if j in gone else w for j, w in enumerate(words)))
+    assert removed_copies(spark, [" ".join(x) for x in base], copies) >= 58
+
+
 def test_lines_of_crowded_buckets_are_all_met(spark):
     """Hashes of one bucket in an order that keeps each line's copy away from it, more lines than a block holds."""
     rng = random.Random(1)
