@@ -369,3 +369,12 @@ def test_lines_of_crowded_buckets_are_all_met(spark):
     base = [f"every line begins alike {prose(rng, 16, 3000)}".split() for _ in range(600)]
     copies = [" ".join(w if j % 5 != 4 else f"new{i}x{j}" for j, w in enumerate(x)) for i, x in enumerate(base)]
     assert removed_copies(spark, [" ".join(x) for x in base], copies) >= 594
+
+
+def test_lines_of_equal_hash_are_compared_with_each_other(spark):
+    """Long words, which alone vote, are the same in all lines; short ones tell them apart but for pairs."""
+    rng = random.Random(5)
+    long = ["constant", "wording", "throughout", "template", "columns"]
+    base = [[*long, *[f"{rng.randrange(36**3):03x}"[:4] for _ in range(15)]] for _ in range(20)]
+    copies = [" ".join([*x[:12], "zz", *x[13:]]) for x in base]
+    assert removed_copies(spark, [" ".join(x) for x in base], copies) == 20
