@@ -4,16 +4,19 @@ Punctuation is dropped and words are cut at whitespace. A word is read in two wa
 capitalised names become ``<num>``, ``<unit>`` and ``<name>``, other words are lower-cased. Plain: names are lower-cased
 too, so that a passage is known again whatever its capitals. What stands in the placeholders are the slots.
 
-Each window of ``window`` words of a benchmark item (the whole item, if shorter) that has at least ``literals`` words
-that are neither placeholder nor capitalised is a template. The longest of these words is its anchor. Documents'
+Each window of ``window`` words of a benchmark item (the whole item, if shorter) is a template; one that has fewer than
+``literals`` words that are no placeholder is lengthened until it has. Where names would be such words in the plain
+reading and it is reached in fewer words, that window is a template of the plain reading too. An item that has too few even
+in the plain reading is one template as a whole, and only found word by word. The longest of these words is its anchor. Documents'
 words are hash-joined with the anchors; where one stands, and the window's second longest word too, the document's
 window is canonicalised and hash-joined with the template. At last the slots must be consistent: two slots of the window hold the same value in
 the document just when they do in the benchmark. That finds a question again with other numbers, names and units.
 
-The benchmark is broadcast if it has at most ``MOST_TEMPLATES`` templates (each holds at most ``window`` words),
+The benchmark is broadcast if it has at most ``MOST_TEMPLATES`` templates (most hold ``window`` words, the others up to an item),
 otherwise joined by shuffle.
 
-Edge cases: a null or blank text matches nothing; items that are null or too short to give a template can't be found;
+Edge cases: a null or blank text matches nothing; items that are null or without words can't be found;
+an item of one common word is found wherever that word stands; one in a script without spaces only between spaces;
 repeated rows are judged each; repeated items are one item if their ids are equal.
 """
 
@@ -68,15 +71,32 @@ def readings(words: Column) -> Column:
 
 
 def templates(benchmark: DataFrame, window: int = WINDOW, literals: int = LITERALS) -> DataFrame:
-    """(item_id, place, *KEY, words, reading, template, slots) from (item_id, text)."""
+    """(item_id, place, whole, *KEY, words, reading, template, slots) from (item_id, text); ``whole`` ones are matched word by word."""
     items = benchmark.select(benchmark["item_id"], words_of(benchmark["text"]).alias("all")).filter("size(all) > 0")
-    placed = items.select("item_id", "all", F.explode(F.sequence(F.lit(0), F.greatest(F.lit(0), F.size("all") - window))).alias("place"))
-    cut = placed.select("item_id", "place", F.slice("all", F.col("place") + 1, F.lit(window)).alias("words"))
-    literal = F.filter(F.transform("words", lambda w, i: F.struct(F.when(typed(w).startswith("<"), 0).otherwise(F.length(w)).alias("size"), (-i).alias("before"), F.lower(w).alias("word"))), lambda x: x["size"] > 0)
-    chosen = cut.withColumn("literal", F.sort_array(literal, asc=False)).filter(F.size("literal") >= literals).withColumn("top", F.col("literal")[0]).withColumn("next", F.col("literal")[1])
+    read = items.select("item_id", "all", F.transform("all", lambda w: typed(w).startswith("<")).alias("in_typed"), F.transform("all", lambda w: plain(w).startswith("<")).alias("in_plain"))
+    few = F.size(F.filter("in_plain", lambda x: ~x)) < literals
+    places = F.when(few, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.greatest(F.lit(0), F.size("all") - window)))
+    placed = read.select("*", few.alias("whole"), F.explode(places).alias("place"))
+    left = F.size("all") - F.col("place")
+
+    def reach(slots: str) -> Column:
+        """How many words from the place hold enough literals, a window at least; null if the item has no more of them."""
+        last = F.get(F.filter(F.sequence(F.col("place"), F.size("all") - 1), lambda i: ~F.get(F.col(slots), i)), F.lit(literals - 1))
+        return F.when(last.isNotNull(), F.greatest(last - F.col("place") + 1, F.least(F.lit(window), left)))
+
+    sized = placed.withColumn("n_typed", reach("in_typed")).withColumn("n_plain", reach("in_plain"))
+    form = lambda n, slots, both: F.struct(n.alias("n"), slots.alias("slot"), F.lit(both).alias("both"))
+    by_typed = F.when(F.col("n_typed").isNotNull(), form(F.col("n_typed"), F.col("in_typed"), True))
+    by_plain = F.when(F.col("n_typed").isNull() | (F.col("n_plain") < F.col("n_typed")), F.when(F.col("n_plain").isNotNull(), form(F.col("n_plain"), F.col("in_plain"), False)))
+    by_word = form(F.size("all"), F.transform("all", lambda w: F.lit(False)), False)
+    forms = F.when(F.col("whole"), F.array(by_word)).otherwise(F.filter(F.array(by_typed, by_plain), lambda x: x.isNotNull()))
+    cut = sized.select("item_id", "place", "all", "whole", F.explode(forms).alias("f")).select("item_id", "place", "whole", "f.*", F.slice("all", F.col("place") + 1, F.col("f.n")).alias("words"))
+    literal = F.filter(F.transform("words", lambda w, i: F.struct(F.when(F.get("slot", F.col("place") + i), 0).otherwise(F.length(w)).alias("size"), (-i).alias("before"), F.lower(w).alias("word"))), lambda x: x["size"] > 0)
+    chosen = cut.withColumn("literal", F.sort_array(literal, asc=False)).withColumn("top", F.col("literal")[0]).withColumn("next", F.coalesce(F.get("literal", F.lit(1)), F.col("literal")[0]))
     at = lambda c: (-F.col(f"{c}.before")).alias
-    known = chosen.select("item_id", "place", F.size("words").alias("n"), F.col("top.word").alias("anchor"), at("top")("offset"), F.col("next.word").alias("second"), at("next")("second_offset"), "words", F.explode(readings(F.col("words"))).alias("r"))
-    return known.select("item_id", "place", *KEY, "words", "r.*").dropDuplicates(["item_id", "place", "reading", "template"])
+    known = chosen.select("item_id", "place", "whole", "both", "n", F.col("top.word").alias("anchor"), at("top")("offset"), F.col("next.word").alias("second"), at("next")("second_offset"), "words", F.explode(readings(F.col("words"))).alias("r"))
+    known = known.filter(F.col("both") | (F.col("r.reading") == "plain"))
+    return known.select("item_id", "place", "whole", *KEY, "words", "r.*").dropDuplicates(["item_id", "place", "reading", "template"])
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, literals: int = LITERALS) -> DataFrame:
@@ -95,7 +115,8 @@ def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, literal
     joined = read.join(known, [*KEY, "reading", "template"])
     same = joined.filter(F.col("found_slots") == F.col("slots"))
     low = lambda c: F.lower(F.array_join(c, " "))
-    return same.select("doc_id", "start", "item_id", "place", (low("found") == low("words")).alias("exact"))
+    told = same.select("doc_id", "start", "item_id", "place", "whole", (low("found") == low("words")).alias("exact"))
+    return told.filter(~F.col("whole") | F.col("exact")).drop("whole")
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, literals: int = LITERALS) -> DataFrame:

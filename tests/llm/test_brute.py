@@ -378,3 +378,12 @@ def test_lines_of_equal_hash_are_compared_with_each_other(spark):
     base = [[*long, *[f"{rng.randrange(36**3):03x}"[:4] for _ in range(15)]] for _ in range(20)]
     copies = [" ".join([*x[:12], "zz", *x[13:]]) for x in base]
     assert removed_copies(spark, [" ".join(x) for x in base], copies) == 20
+
+
+def test_templates_of_items_with_few_literals(spark):
+    items = ["a short one", "The Quick Zebra Jumps Over Seven Fences", "Is 5 km or 3 miles 8 feet longer?", "Add 3 kg 40 g 7 lb 9 oz 12 mg 2 l of water and then boil everything slowly", "何が一番大きいですか", "12"]
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    texts = [f"Some prose before. {x} And after" for x in items]
+    texts += ["here the quick zebra jumps over nine fences", "then add 4 kg 50 g 8 lb 6 oz 11 mg 5 l of water and then boil everything", "is 6 km or 4 miles 9 feet longer", "a shorter one, a short two", None]
+    got = {r["doc_id"]: r["items"] for r in templates.decontaminate(frame(spark, texts), bench).collect()}
+    assert got == {0: "0", 1: "1", 2: "2", 3: "3,5", 4: "4", 5: "5", 6: "1", 7: "3", 8: "", 9: "", 10: ""}
