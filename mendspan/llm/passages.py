@@ -16,7 +16,7 @@ Automata over shards keep the work in proportion to the repeated text: no docume
 its anchors leads to.
 
 Edge cases: a null or blank text has no words; ids that are null come after all others; rows that share an id are
-judged against smaller ids and themselves, and a window that stands in both rows counts as standing earlier in one.
+judged by their texts in the order of a digest; a window that stands twice in rows of equal id and text may be removed from both.
 """
 
 from __future__ import annotations
@@ -92,11 +92,11 @@ def _sorted_out(batch_iter, window: int):
             digest.append(None if keep else hashlib.sha256(b"" if copy else b" ".join(words)).hexdigest())
             texts.append(text if keep else None)
             places.append(keep)
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(4), pa.array(n_words, pa.int64()), pa.array(removed, pa.int64()), pa.array(digest, pa.string()), pa.array(texts, pa.string()), pa.array(places, pa.list_(pa.int64()))], ["key", "doc_id", "n_words", "n_removed", "kept_sha256", "text", "places"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(5), batch.column(4), pa.array(n_words, pa.int64()), pa.array(removed, pa.int64()), pa.array(digest, pa.string()), pa.array(texts, pa.string()), pa.array(places, pa.list_(pa.int64()))], ["key", "digest", "doc_id", "n_words", "n_removed", "kept_sha256", "text", "places"])
 
 
 def _segments(batch_iter, window: int, gram: int):
-    """(anchor, key, start, words): the stretch of the windows that have a place as anchor, for each that isn't hot."""
+    """(anchor, key, digest, start, words): the stretch of the windows that have a place as anchor, for each that isn't hot."""
     for batch in batches(batch_iter):
         raw, offsets = buffers(batch.column(1))
         starts, ends, of = spans(raw, offsets)
@@ -112,13 +112,13 @@ def _segments(batch_iter, window: int, gram: int):
         begin, end = begin[good], end[good]
         data = raw.tobytes()
         text = [data[a:b] for a, b in zip(starts[begin].tolist(), ends[end + window - 1].tolist(), strict=True)]
-        keys = batch.column(0).to_numpy(zero_copy_only=False)
+        keys, digests = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 3))
         doc = of[begin]
-        yield pa.RecordBatch.from_arrays([pa.array(grams[chosen[begin]].view(np.int64)), pa.array(keys[doc]), pa.array(begin - first[doc]), pa.array(text, pa.binary()).cast(pa.string())], ["anchor", "key", "start", "words"])
+        yield pa.RecordBatch.from_arrays([pa.array(grams[chosen[begin]].view(np.int64)), pa.array(keys[doc]), pa.array(digests[doc]), pa.array(begin - first[doc]), pa.array(text, pa.binary()).cast(pa.string())], ["anchor", "key", "digest", "start", "words"])
 
 
 def _hot_windows(batch_iter, window: int, gram: int):
-    """(hash, anchor, key, start) of each window around hot places; a window that repeats in its document comes once more with its later starts."""
+    """(hash, anchor, key, digest, start) of each window around hot places; a window that repeats in its document comes once more with its later starts."""
     for batch in batches(batch_iter):
         words, of, first, grams = _hashed(batch.column(1), window, gram)
         whole = gram_hashes(words, window)
@@ -127,8 +127,8 @@ def _hot_windows(batch_iter, window: int, gram: int):
         for i, places in enumerate(batch.column(2).to_pylist()):
             hot[[first[i] + (x >> 1) for x in places if x & 1]] = True
         at = np.flatnonzero((chosen >= 0) & hot[chosen])
-        keys = batch.column(0).to_numpy(zero_copy_only=False)
-        yield pa.RecordBatch.from_arrays([pa.array(whole[at].view(np.int64)), pa.array(grams[chosen[at]].view(np.int64)), pa.array(keys[of[at]]), pa.array(at - first[of[at]])], ["hash", "anchor", "key", "start"])
+        keys, digests = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 3))
+        yield pa.RecordBatch.from_arrays([pa.array(whole[at].view(np.int64)), pa.array(grams[chosen[at]].view(np.int64)), pa.array(keys[of[at]]), pa.array(digests[of[at]]), pa.array(at - first[of[at]])], ["hash", "anchor", "key", "digest", "start"])
 
 
 def _locate(keys: np.ndarray, starts: np.ndarray, words: np.ndarray, of: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
@@ -177,12 +177,12 @@ def _stretches(key: np.ndarray, start: np.ndarray, window: int) -> tuple[np.ndar
 
 
 def _located(shard: pa.Table, window: int) -> pa.Table:
-    shard = shard.sort_by([("key", "ascending"), ("start", "ascending")])
+    shard = shard.sort_by([("key", "ascending"), ("digest", "ascending"), ("start", "ascending")])
     raw, offsets = buffers(shard["words"])
     starts, ends, of = spans(raw, offsets)
-    keys, begins = (shard[x].to_numpy() for x in ("key", "start"))
-    found = _stretches(*_locate(keys, begins, word_hashes(raw, starts, ends), of, window), window)
-    return pa.table(dict(zip(("key", "begin", "end"), found, strict=True)))
+    digests, begins = (shard[x].to_numpy() for x in ("digest", "start"))
+    found = _stretches(*_locate(digests, begins, word_hashes(raw, starts, ends), of, window), window)
+    return pa.table(dict(zip(("digest", "begin", "end"), found, strict=True)))
 
 
 def _removed(batch_iter):
@@ -202,28 +202,30 @@ def _removed(batch_iter):
 def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, hot: int = HOT, shard_rows: int = SHARD) -> DataFrame:
     """(doc_id, n_words, n_removed, kept_sha256), one row a document, from (doc_id, text)."""
     size = dict(window=window, gram=gram)
-    docs = docs.select(docs["doc_id"], docs["text"]).withColumn("key", F.coalesce("doc_id", F.lit(LAST)))
-    anchors = written(docs.select("key", "text", F.xxhash64("text").alias("digest")).mapInArrow(partial(_anchors, **size), "anchor long, key long, pos long, digest long, again boolean"))
+    docs = docs.select(docs["doc_id"], docs["text"], F.xxhash64(docs["text"]).alias("digest")).withColumn("key", F.coalesce("doc_id", F.lit(LAST)))
+    anchors = written(docs.select("key", "text", "digest").mapInArrow(partial(_anchors, **size), "anchor long, key long, pos long, digest long, again boolean"))
     counted = anchors.groupBy("anchor").agg(F.count("*").alias("n"), (F.max("again") | (F.min("digest") != F.max("digest"))).alias("repeats"))
     twice = written(counted.filter("repeats").select("anchor", (F.col("n") > hot).cast("long").alias("hot")))
-    places = written(anchors.select("anchor", "key", "pos").join(twice, "anchor").groupBy("key").agg(F.collect_list(F.col("pos") * 2 + F.col("hot")).alias("places")))
-    firsts = docs.groupBy(F.md5("text").alias("digest")).agg(F.min("key").alias("key")).select("key", F.lit(True).alias("first"))
-    known = firsts.join(places, "key", "full")
-    told = docs.join(known, "key", "left").select("key", "text", F.coalesce("first", F.lit(False)).alias("first"), "places", "doc_id")
-    sorted_out = written(told.mapInArrow(partial(_sorted_out, window=window), "key long, doc_id long, n_words long, n_removed long, kept_sha256 string, text string, places array<long>"))
+    places = written(anchors.select("anchor", "key", "digest", "pos").join(twice, "anchor").groupBy("key", "digest").agg(F.collect_list(F.col("pos") * 2 + F.col("hot")).alias("places")))
+    # a document is known by its key and text: ids may repeat or be null
+    firsts = docs.groupBy(F.md5("text").alias("md5"), "digest").agg(F.min("key").alias("key")).select("key", "digest", F.lit(True).alias("first"))
+    known = firsts.join(places, ["key", "digest"], "full")
+    told = docs.join(known, ["key", "digest"], "left").select("key", "text", F.coalesce("first", F.lit(False)).alias("first"), "places", "doc_id", "digest")
+    sorted_out = written(told.mapInArrow(partial(_sorted_out, window=window), "key long, digest long, doc_id long, n_words long, n_removed long, kept_sha256 string, text string, places array<long>"))
     candidates = sorted_out.filter("text IS NOT NULL")
     n = places.agg(F.sum(F.size("places"))).first()[0] or 0
-    segments = candidates.select("key", "text", "places").mapInArrow(partial(_segments, **size), "anchor long, key long, start long, words string")
+    segments = candidates.select("key", "text", "places", "digest").mapInArrow(partial(_segments, **size), "anchor long, key long, digest long, start long, words string")
     dealt = segments.withColumn("shard", F.pmod(F.xxhash64("anchor"), F.lit(max(1, -(-n // shard_rows)))))
-    located = dealt.groupBy("shard").applyInArrow(lambda shard: _located(shard, window), "key long, begin long, end long")
-    warm = candidates.filter(F.exists("places", lambda x: x.bitwiseAND(F.lit(1)) == 1)).select("key", "text", "places").mapInArrow(partial(_hot_windows, **size), "hash long, anchor long, key long, start long")
-    in_doc = written(warm.groupBy("hash", "anchor", "key").agg(F.min("start").alias("first_start"), F.collect_list("start").alias("starts")))
-    earliest = written(in_doc.groupBy("hash", "anchor").agg(F.min("key").alias("first_key")))
-    again = in_doc.join(earliest, ["hash", "anchor"]).filter((F.col("key") != F.col("first_key")) | (F.size("starts") > 1)).select("key", F.explode("starts").alias("begin"), "first_key", "first_start")
-    again = again.filter((F.col("key") != F.col("first_key")) | (F.col("begin") != F.col("first_start"))).select("key", "begin", (F.col("begin") + window).alias("end"))
-    cut = located.unionByName(again).groupBy("key").agg(F.collect_list(F.struct("begin", "end")).alias("stretches"))
+    located = dealt.groupBy("shard").applyInArrow(lambda shard: _located(shard, window), "digest long, begin long, end long")
+    warm = candidates.filter(F.exists("places", lambda x: x.bitwiseAND(F.lit(1)) == 1)).select("key", "text", "places", "digest").mapInArrow(partial(_hot_windows, **size), "hash long, anchor long, key long, digest long, start long")
+    in_doc = written(warm.groupBy("hash", "anchor", F.struct("key", "digest").alias("doc")).agg(F.min("start").alias("first_start"), F.collect_list("start").alias("starts")))
+    earliest = written(in_doc.groupBy("hash", "anchor").agg(F.min("doc").alias("first_doc")))
+    again = in_doc.join(earliest, ["hash", "anchor"]).filter((F.col("doc") != F.col("first_doc")) | (F.size("starts") > 1)).select("doc", F.explode("starts").alias("begin"), "first_doc", "first_start")
+    again = again.filter((F.col("doc") != F.col("first_doc")) | (F.col("begin") != F.col("first_start"))).select("doc.digest", "begin", (F.col("begin") + window).alias("end"))
+    # of each text only the first key's rows are candidates, so that the digest tells them apart
+    cut = located.unionByName(again).groupBy("digest").agg(F.collect_list(F.struct("begin", "end")).alias("stretches"))
     names = ("doc_id", "n_words", "n_removed", "kept_sha256")
-    changed = candidates.join(cut, "key", "left").select("doc_id", "n_words", "text", "stretches").mapInArrow(_removed, "doc_id long, n_words long, n_removed long, kept_sha256 string")
+    changed = candidates.join(cut, "digest", "left").select("doc_id", "n_words", "text", "stretches").mapInArrow(_removed, "doc_id long, n_words long, n_removed long, kept_sha256 string")
     return sorted_out.filter("text IS NULL").select(*names).unionByName(changed.select(*names))
 
 

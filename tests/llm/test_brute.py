@@ -387,3 +387,24 @@ def test_templates_of_items_with_few_literals(spark):
     texts += ["here the quick zebra jumps over nine fences", "then add 4 kg 50 g 8 lb 6 oz 11 mg 5 l of water and then boil everything", "is 6 km or 4 miles 9 feet longer", "a shorter one, a short two", None]
     got = {r["doc_id"]: r["items"] for r in templates.decontaminate(frame(spark, texts), bench).collect()}
     assert got == {0: "0", 1: "1", 2: "2", 3: "3,5", 4: "4", 5: "5", 6: "1", 7: "3", 8: "", 9: "", 10: ""}
+
+
+@pytest.mark.parametrize("hot", [1, 20_000])
+def test_passages_of_rows_without_an_id_of_their_own(spark, hot):
+    common.bounded_batches(spark)
+    rng = random.Random(11)
+    a, b, c, d = (prose(rng, 40, 3000) for _ in range(4))
+    texts = [(1, a), (2, f"{b} {b}"), (5, a), (5, c), (None, d), (None, f"{c} {d[:9]}"), (None, a), (None, None)]
+    rows = passages.remove_repeats(frame(spark, texts), hot=hot).collect()
+    got = sorted(((r["doc_id"] or 99, r["n_words"], r["n_removed"]) for r in rows))
+    n = len(f"{c} {d[:9]}".split())
+    assert got == sorted([(1, 40, 0), (2, 80, 40), (5, 40, 40), (5, 40, 0), (99, 40, 0), (99, n, 40), (99, 40, 40), (99, 0, 0)])
+
+
+def test_pipeline_drops_copies_without_an_id(spark):
+    import corpus_pipeline
+
+    rng = random.Random(12)
+    a, b, c = (prose(rng, 40, 3000) for _ in range(3))
+    out = corpus_pipeline.near_duplicates(spark, frame(spark, [(1, a), (None, a), (None, b), (None, b), (None, c), (None, None)]), SF)
+    assert sorted((r["doc_id"] or 99, r["text"] or "") for r in out.collect()) == sorted([(1, a), (99, b), (99, c), (99, "")])
