@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mendspan.session import shared_dir, table, written
+from mendspan.session import drop, shared_dir, table, written
 
-__all__ = ["WORD", "bounded_batches", "n_words", "only", "shared_dir", "table", "written"]
+__all__ = ["WORD", "bounded_batches", "drop", "n_words", "only", "shared_dir", "table", "written"]
 
 #: A word, as Java's regular expressions put it.
 WORD = r"[^\x20\x09-\x0D]+"
