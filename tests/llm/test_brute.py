@@ -95,20 +95,44 @@ def test_pigeonhole_finds_all_close_hashes(spark):
 
 def test_mix_takes_its_targets(spark):
     docs = common.table(spark, SF, "documents")
-    rows = mixing.schedule(docs).withColumn("taken", mixing.taken()).collect()
-    by = {}
+    queue = common.written(mixing.schedule(docs))
+    rows = queue.collect()
+    told = {r["doc_id"]: r["taken"] for r in registry.QUERIES["op4_mixing"](spark, SF).collect()}
+    by, order = {}, []
     for r in rows:
         by.setdefault(r["source"], []).append(r)
-        assert 0 <= r["taken"] <= 2 * r["size"]
+        order += [((r["start"] + r["size"] + e * r["source_size"]) / r["target"], r["source"], r["doc_id"], r["size"]) for e in range(2) if r["size"]]
+    left, taken = math.floor(1.5 * sum(r["size"] for r in rows)), Counter()
+    for _, _, doc, size in sorted(order):
+        taken[doc] += min(size, left)
+        left -= min(size, left)
+    assert left == 0
+    assert told == {r["doc_id"]: taken[r["doc_id"]] for r in rows}
     for source in by.values():
-        assert sum(r["taken"] for r in source) == math.floor(source[0]["target"])
-    assert math.isclose(sum(s[0]["target"] for s in by.values()), 1.5 * sum(r["size"] for r in rows))
+        near = sum(told[r["doc_id"]] for r in source)
+        assert abs(near - source[0]["target"]) <= 2 * max(r["size"] for r in source)
     mix = mixing.mix(docs).collect()
     assert [r["finish"] for r in mix] == sorted(r["finish"] for r in mix)
-    taken = Counter()
+    given = Counter()
     for r in mix:
-        taken[r["doc_id"]] += r["words"]
-    assert all(taken[r["doc_id"]] == r["taken"] for r in rows)
+        given[r["doc_id"]] += r["words"]
+    assert all(given[d] == n for d, n in told.items())
+
+
+@pytest.mark.parametrize("slots", [1, 3, 4096])
+def test_cut_of_the_queue(spark, slots):
+    rng = random.Random(slots)
+    rows = [(i, rng.choice([0, 1, 5, 900]), rng.choice(["a", "b", "c", None])) for i in range(200)]
+    docs = spark.createDataFrame([(i, "w " * n, s) for i, n, s in rows], "doc_id long, text string, source string")
+    queue = mixing.schedule(docs).collect()
+    order = sorted((((r["start"] + r["size"] + e * r["source_size"]) / r["target"], r["source"] is None, r["source"] or ""), r["size"]) for r in queue for e in range(2) if r["size"])
+    left = math.floor(1.5 * sum(r["size"] for r in queue))
+    for key, size in order:
+        if left < size:
+            break
+        left -= size
+    got = mixing.cut(mixing.schedule(docs), slots=slots).first()
+    assert ((got["finish"], got["last"], got["source"] or ""), got["words"]) == (key, left)
 
 
 def test_targets_are_reshared(spark):
