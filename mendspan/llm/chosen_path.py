@@ -11,8 +11,9 @@ again, up to ``depth`` times. Two sets of similarity s follow the same path to d
 Leaves compare sketches with a lenient bound; what they link makes up loose clusters. Within those, every pair of
 sets is compared exactly, in blocks of bounded size, and links are counted, not listed.
 
-A node that is large at the deepest level holds near copies of each other: it is dealt into chunks of ``chunk``
-sets, each with the node's first set, so that all of it lands in one loose cluster and no task holds it whole.
+A node that is large at the deepest level mostly holds near copies of each other: its sets are compared with the first of
+them, and those alike are linked to it, which puts them into one loose cluster. The others are compared with all sets of
+the node, in pairs of blocks of half a ``chunk``, so that no task holds it whole and no pair is left out.
 
 Edge cases: a null or blank text is linked to nothing; rows that share an id are one document with two texts and
 come out in one class; null ids are one such document.
@@ -29,11 +30,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mendspan.llm.common import bounded_batches, table, written
+from mendspan.llm.common import bounded_batches, drop, table, written
 from mendspan.llm.components import connected_components
 from mendspan.llm.words import batches, buffers, gram_hashes, mix, spans, word_hashes
 
-GRAM, THRESHOLD, RECALL = 5, 0.8, 0.99
+GRAM, THRESHOLD, RECALL = 5, 0.8, 0.998
 COORDINATES, LEAF, DEPTH, CHUNK = 64, 64, 4, 1024
 #: Standard deviations of the sketch's estimate that leaves allow below the threshold.
 SLACK = 3.5
@@ -195,7 +196,7 @@ def jaccard_classes(docs: DataFrame, threshold: float = THRESHOLD, gram: int = G
     tops = reps.groupBy("rep").agg(F.sum("copies").alias("copies"), F.count("*").alias("sets"))
     sets = written(sketched.filter("n > 0").join(reps.select("rep", "a", "b", "n"), ["a", "b", "n"]).filter("key = rep").select("rep", "sketch").dropDuplicates(["rep", "sketch"]))
 
-    walk = written(sets.select("rep", _paths(runs, depth, coordinates)).select("rep", "path.*"))
+    walk = start = written(sets.select("rep", _paths(runs, depth, coordinates)).select("rep", "path.*"))
     found = None
     for level in range(depth):
         sizes = walk.groupBy(f"n{level}").agg(F.count("*").alias("m")).filter("m > 1")
@@ -206,13 +207,18 @@ def jaccard_classes(docs: DataFrame, threshold: float = THRESHOLD, gram: int = G
         if not last:
             walk = written(walk.filter(F.col("m") > leaf).drop("m"))
     found = written(found)
-    heads = found.filter(F.col("m") > chunk).groupBy("node").agg(F.min("rep").alias("rep"), F.max("m").alias("m"))
-    pieces = F.ceil(F.col("m") / chunk).cast("int")
-    dealt = found.select(F.when(F.col("m") > chunk, F.xxhash64("node", F.pmod(F.xxhash64("rep", "node"), pieces))).otherwise(F.col("node")).alias("node"), "rep")
-    dealt = dealt.unionByName(heads.select("rep", "node", F.explode(F.sequence(F.lit(0), pieces - 1)).alias("piece")).select(F.xxhash64("node", F.col("piece").cast("long")).alias("node"), "rep"))
+    large = found.filter(F.col("m") > chunk).select("node", "rep")
+    heads = large.groupBy("node").agg(F.min("rep").alias("head"))
+    first = heads.join(sets.select(F.col("rep").alias("head"), F.col("sketch").alias("head_sketch")), "head").dropDuplicates(["node"])
+    same = F.size(F.filter(F.zip_with("sketch", "head_sketch", lambda x, y: x == y), lambda x: x))
+    told = written(large.join(first, "node").join(sets, "rep").groupBy("node", "rep", "head").agg(F.max(same >= bound * coordinates).alias("alike")))
+    crossed = _crossed(told, max(1, chunk // 2))
+    dealt = found.filter(F.col("m") <= chunk).select("node", "rep").unionByName(crossed)
     n_bins = max(1, -(-found.count() // BIN_ROWS))
-    linked = dealt.join(sets, "rep").withColumn("bin", F.pmod(F.xxhash64("node"), F.lit(n_bins))).groupBy("bin").applyInPandas(partial(_bins, bound=bound), "a long, b long")
+    linked = dealt.join(sets, "rep").withColumn("bin", F.pmod(F.xxhash64("node"), F.lit(n_bins))).groupBy("bin").applyInPandas(lambda rows: _leaves(rows, bound), "a long, b long")
+    linked = linked.unionByName(told.filter("alike AND rep <> head").select(F.col("head").alias("a"), F.col("rep").alias("b")))
     loose = written(connected_components(linked).select(F.col("node").alias("rep"), F.col("root").alias("cluster")))
+    drop(start, walk, found, told)
 
     texts = docs.join(loose, docs["key"] == loose["rep"]).join(tops.select(F.col("rep").alias("r"), "copies"), F.col("key") == F.col("r"))
     grams = written(texts.select("cluster", "rep", "copies", "text").mapInArrow(partial(_with_grams, gram=gram), "cluster long, rep long, copies long, grams array<long>"))
@@ -222,23 +228,30 @@ def jaccard_classes(docs: DataFrame, threshold: float = THRESHOLD, gram: int = G
     placed = grams.join(per.select("cluster", blocks.alias("blocks")), "cluster").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
     paired = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other"))
     binned = paired.withColumn("bin", F.when(F.col("blocks") > 1, F.xxhash64("cluster", "i", "j")).otherwise(F.pmod(F.xxhash64("cluster"), F.lit(n_bins))))
-    verified = written(binned.groupBy("bin").applyInPandas(partial(_pairs, threshold=threshold), "rep long, root long, n long"))
+    verified = written(binned.groupBy("bin").applyInPandas(lambda rows: _verify(rows, threshold), "rep long, root long, n long"))
     roots = connected_components(verified.select(F.col("root").alias("a"), F.col("rep").alias("b")))
     links = verified.groupBy("rep").agg(F.sum("n").alias("n"))
     told = written(tops.join(links, "rep", "left").join(roots, tops["rep"] == roots["node"], "left").select(tops["rep"], "copies", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("root", tops["rep"]).alias("root")))
     of_set = written(reps.select("a", "b", F.col("n").alias("size"), "rep").join(told, "rep"))
+    drop(loose, grams, verified, told, reps, sets)
     keyed = sketched.withColumnRenamed("n", "size")
     same = keyed.join(of_set, ["a", "b", "size"], "left")
     null_if_last = lambda c: F.when(c != LAST, c)
     return same.select(null_if_last(F.col("key")).alias("doc_id"), null_if_last(F.coalesce("root", "key")).alias("class_id"), F.coalesce(F.col("n") + F.col("copies") - 1, F.lit(0)).cast("long").alias("n_links"))
 
 
-def _bins(rows: pd.DataFrame, bound: float) -> pd.DataFrame:
-    return _leaves(rows, bound)
-
-
-def _pairs(rows: pd.DataFrame, threshold: float) -> pd.DataFrame:
-    return _verify(rows, threshold)
+def _crossed(told: DataFrame, size: int) -> DataFrame:
+    """(node, rep) of pairs of blocks, of which one at least holds sets that aren't alike the first: of a node's (rep, alike)."""
+    ceil = lambda n: F.ceil(n / F.lit(size)).cast("int")
+    per = told.groupBy("node").agg(ceil(F.count_if(~F.col("alike"))).alias("others"), ceil(F.count_if("alike")).alias("near"))
+    hash_of = F.pmod(F.xxhash64("rep", "node"), F.when(F.col("alike"), F.col("near")).otherwise(F.col("others"))).cast("int")
+    placed = told.join(per.filter("others > 0"), "node").withColumn("block", hash_of)
+    partners = F.when(F.col("alike"), F.sequence(F.lit(0), F.col("others") - 1)).otherwise(F.sequence(F.lit(0), F.col("others") + F.col("near") - 1))
+    met = placed.withColumn("other", F.explode(partners))
+    i = F.when(F.col("alike"), F.col("other")).when(F.col("other") < F.col("others"), F.least("block", "other")).otherwise(F.col("block"))
+    j = F.when(F.col("alike"), F.col("others") + F.col("block")).otherwise(F.greatest("block", "other"))
+    j = F.when(F.col("alike") | (F.col("other") < F.col("others")), j).otherwise(F.col("other"))
+    return met.select(F.xxhash64("node", i, j).alias("node"), "rep")
 
 
 def op8_jaccard_join(spark, sf_dir: str) -> DataFrame:
