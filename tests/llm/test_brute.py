@@ -68,7 +68,7 @@ def test_private_is_linear(spark):
 @pytest.mark.parametrize("n", [1, 7, 200, 255, 256, 700])
 def test_simhash(spark, n):
     hashes = [RNG.randrange(-(1 << 63), 1 << 63) for _ in range(n)]
-    got = lines.simhash(spark.createDataFrame([(1, hashes)], "k long, hashes array<long>"), ["k"]).first()["sim"]
+    got = lines.simhash(spark.createDataFrame([(1, "x", hashes)], "k long, more string, hashes array<long>"), ["k", "more"]).first()["sim"]
     assert got == sum(1 << p for p in range(63) if 2 * sum(h >> p & 1 for h in hashes) > n)
 
 
@@ -417,6 +417,19 @@ def test_lines_at_the_threshold_are_met(spark, n):
     assert removed_copies(spark, [" ".join(x) for x in base], copies) >= 58
 
 
+def test_lines_with_one_word_changed_are_met(spark):
+    rng = random.Random(21)
+    for n in (10, 20, 30, 80):
+        base = [prose(rng, n, 3000).split() for _ in range(100)]
+        copies = [" ".join("changed" if j == i % n else w for j, w in enumerate(x)) for i, x in enumerate(base)]
+        assert removed_copies(spark, [" ".join(x) for x in base], copies) >= 98
+
+
+def test_long_lines_in_another_order_are_kept(spark):
+    words = [f"word{i}number" for i in range(2400)]
+    assert removed_copies(spark, [" ".join(words)], [" ".join(words[::-1]), " ".join(["other"] * 40 + words[40:])]) == 1
+
+
 def test_lines_of_crowded_buckets_are_all_met(spark):
     """Hashes of one bucket in an order that keeps each line's copy away from it, more lines than a block holds."""
     rng = random.Random(1)
