@@ -4,7 +4,8 @@ Vectors are dealt over shards of about ``shard_rows`` rows. A shard sorts its ro
 query, all lists are read downwards together, best contribution first, in steps of growing length; rows met for the
 first time get their whole score. The bound is what a row not yet met can reach at most: the sum of the
 contributions at the depth reached. A query stops when its bound is below its kth score, so that a row of equal
-score and smaller id is never missed. The best of each shard are then merged.
+score and smaller id is never missed. The first shard is searched before the others: its kth score is a floor for them, which
+lets their lists end where nothing above it can follow. The best of each shard are then merged.
 
 Queries are dealt in blocks of ``query_rows``; each pair of shard and block is one bounded task. The number of such
 pairs grows as rows times queries, which is what the contract asks for.
@@ -28,8 +29,8 @@ from mendspan.llm.common import only, table, written
 SHARD_ROWS, QUERY_ROWS = 2048, 1024
 
 
-def threshold_search(ids: np.ndarray, rows: np.ndarray, query: np.ndarray, query_id: int, k: int, down: np.ndarray, first: int = 16) -> tuple[np.ndarray, np.ndarray]:
-    """Ids and scores of the k best rows. ``down``: for each dimension, row numbers by falling component."""
+def threshold_search(ids: np.ndarray, rows: np.ndarray, query: np.ndarray, query_id: int, k: int, down: np.ndarray, floor: int | None = None, first: int = 16) -> tuple[np.ndarray, np.ndarray]:
+    """Ids and scores of the k best rows, but for those below the floor. ``down``: for each dimension, row numbers by falling component."""
     n, dims = rows.shape
     open_ = ids != query_id
     met = np.zeros(n, dtype=bool)
@@ -55,11 +56,12 @@ def threshold_search(ids: np.ndarray, rows: np.ndarray, query: np.ndarray, query
             keep = np.lexsort((best_ids, -best))[:k]
             best_ids, best = best_ids[keep], best[keep]
         depth, step = end, step * 2
-        if len(best) == k and depth < n:
+        if depth < n and (len(best) == k or floor is not None):
             at = np.where(up, down[used, n - depth], down[used, depth - 1])
-            if int((rows[at, used] * query[used]).sum()) < best.min():
+            least = max(x for x in (floor, best.min() if len(best) == k else None) if x is not None)
+            if int((rows[at, used] * query[used]).sum()) < least:
                 break
-    return best_ids, best
+    return (best_ids, best) if floor is None else (best_ids[best >= floor], best[best >= floor])
 
 
 def _search(rows: pd.DataFrame, queries: pd.DataFrame, k: int) -> pd.DataFrame:
@@ -67,8 +69,9 @@ def _search(rows: pd.DataFrame, queries: pd.DataFrame, k: int) -> pd.DataFrame:
     if len(rows) and len(queries):
         ids, x = rows["vec_id"].to_numpy(np.int64), np.stack(rows["scaled"].to_numpy()).astype(np.int64)
         down = np.argsort(-x, axis=0, kind="stable").T.copy()
-        for query_id, q in zip(queries["vec_id"].to_numpy(np.int64), queries["scaled"], strict=True):
-            found, score = threshold_search(ids, x, np.asarray(q, dtype=np.int64), query_id, k, down)
+        floors = queries["floor"] if "floor" in queries else [None] * len(queries)
+        for query_id, q, floor in zip(queries["vec_id"].to_numpy(np.int64), queries["scaled"], floors, strict=True):
+            found, score = threshold_search(ids, x, np.asarray(q, dtype=np.int64), query_id, k, down, None if pd.isna(floor) else int(floor))
             out.append(pd.DataFrame({"query_id": query_id, "vec_id": found, "score": score}))
     return pd.concat(out) if out else pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype("int64")
 
@@ -78,16 +81,26 @@ def top_k(vectors: DataFrame, is_query, k: int = 10, scale: int = 1024, shard_ro
     usable = only(vectors, "vec_id", "embedding").filter(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull())
     usable = usable.filter(F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))))
     scaled = usable.select("vec_id", F.transform("embedding", lambda x: F.floor(x.cast("double") * scale).cast("long")).alias("scaled")).withColumn("dims", F.size("scaled"))
-    rows = written(scaled)
+    rows = written(scaled.dropDuplicates(["vec_id", "scaled"]))
     queries = rows.filter(is_query)
     n, n_queries = rows.count(), queries.count()
     shards, blocks = max(1, -(-n // shard_rows)), max(1, -(-n_queries // query_rows))
     deal = lambda c, m: F.pmod(F.xxhash64(c), F.lit(m)).cast("int")
-    left = rows.withColumn("shard", deal("vec_id", shards)).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    right = queries.withColumn("block", deal("vec_id", blocks)).withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
+    dealt = rows.withColumn("shard", deal("vec_id", shards))
+    asked = queries.withColumn("block", deal("vec_id", blocks))
     key = ("dims", "shard", "block")
-    search = partial(_search, k=k)
-    found = left.groupBy(*key).cogroup(right.groupBy(*key)).applyInPandas(lambda a, b: search(a, b), "query_id long, vec_id long, score long").distinct()
+
+    def searched(some: DataFrame, queries: DataFrame) -> DataFrame:
+        left = some.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+        return left.groupBy(*key).cogroup(queries.groupBy(*key)).applyInPandas(lambda a, b: _search(a, b, k), "query_id long, vec_id long, score long")
+
+    head = written(searched(dealt.filter("shard = 0"), asked.withColumn("shard", F.lit(0))))
+    # the kth score; rows of a query that share its id with other vectors are queries of their own, and the lowest floor holds for all
+    floors = head.dropDuplicates().groupBy("query_id").agg(F.sort_array(F.collect_list("score"), asc=False).alias("s")).select(F.col("query_id").alias("vec_id"), F.get("s", F.lit(k - 1)).alias("floor"))
+    once = asked.groupBy("vec_id").agg(F.count("*").alias("same"))
+    asked = written(asked.join(floors, "vec_id", "left").join(once, "vec_id").withColumn("floor", F.when(F.col("same") == 1, F.col("floor"))).drop("same"))
+    rest = searched(dealt.filter("shard > 0"), asked.withColumn("shard", F.explode(F.sequence(F.lit(1), F.lit(shards - 1))))) if shards > 1 else head.limit(0)
+    found = head.unionByName(rest).distinct()
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc("vec_id"))
     return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

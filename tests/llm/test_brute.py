@@ -175,6 +175,24 @@ def test_language_pieces_of_long_texts():
         language.PIECE = old
 
 
+def test_language_scores_against_plain_counts(spark):
+    """Six hundred languages, fewer cells for them, and every document's posterior by plain sums."""
+    common.bounded_batches(spark)
+    rng = random.Random(13)
+    rows = [(i, prose(rng, 12, 50 + i % 7), f"l{i % 600:03d}") for i in range(1200)] + [(5000, None, "l000"), (5001, "12 !", "l001")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    langs, matrix, prior = model = language.fit(docs, most=1 << 18)
+    assert len(langs) == 600
+    assert matrix.size <= 1 << 18
+    got = {r["doc_id"]: r for r in language.predict(docs, model, F.lit(False)).collect()}
+    assert {got[5000]["lang_pred"], got[5001]["lang_pred"]} == {"und"}
+    for i, text, _ in rows[:50]:
+        log = matrix[language.cells(language.prepared(text), len(matrix) // 2)].sum(axis=0) + prior
+        p = np.exp(log - log.max())
+        assert math.isclose(got[i]["score"], (p / p.sum()).max(), rel_tol=1e-6)
+        assert math.isclose(log[langs.index(got[i]["lang_pred"])], log.max(), rel_tol=1e-9)
+
+
 @pytest.mark.parametrize(("hot", "rows"), [(1, 20), (3, 100)])
 def test_passages_of_hot_anchors(spark, duck, hot, rows):
     common.bounded_batches(spark)
@@ -370,6 +388,23 @@ def test_threshold_search_stops_early():
         found, score = topk.threshold_search(ids, rows, q, 17, 10, down)
         every = [(-int(s), int(i)) for i, s in zip(ids, rows @ q, strict=True) if i != 17]
         assert sorted(zip((-score).tolist(), found.tolist(), strict=True)) == sorted(every)[:10]
+        floor = -sorted(every)[4][0]
+        found, score = topk.threshold_search(ids, rows, q, 17, 10, down, floor)
+        assert sorted(zip((-score).tolist(), found.tolist(), strict=True)) == [x for x in sorted(every)[:10] if -x[0] >= floor]
+
+
+@pytest.mark.parametrize("shard_rows", [7, 2048])
+def test_repeated_vectors(spark, shard_rows):
+    rng = np.random.default_rng(4)
+    rows = [(i, [float(x) for x in rng.standard_normal(5)]) for i in range(60)]
+    rows += [rows[3]] * 12 + [(70, rows[3][1]), (100, rows[9][1]), (None, rows[5][1]), (71, None), (72, [1.0, None, 0.0, 0.0, 0.0]), (73, [float("nan")] * 5)]
+    got = {}
+    for r in topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), F.col("vec_id") % 100 == 0, shard_rows=shard_rows).collect():
+        got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
+    scaled = {i: [math.floor(1024 * float(np.float32(x))) for x in v] for i, v in rows[:60] + [(70, rows[3][1]), (100, rows[9][1])]}
+    for q in (0, 100):
+        best = sorted((-sum(a * b for a, b in zip(scaled[q], v, strict=True)), i) for i, v in scaled.items() if i != q)[:10]
+        assert sorted(got[q]) == [(n + 1, i, -s) for n, (s, i) in enumerate(best)]
 
 
 def test_pipeline_stages(spark, tmp_path):
