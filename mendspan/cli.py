@@ -13,8 +13,13 @@ from mendspan.operators import directories, report
 from mendspan.plans.library import Library
 from mendspan.sources.store import Store
 
-#: How much of the machine each preset takes, as a share of its cores.
-THROTTLES = {"background": 0.25, "balanced": 0.75, "fullspeed": 1.0, "custom": 0.75}
+# The share of cores and of memory that each preset takes.
+THROTTLES = {"background": (0.5, 0.8), "balanced": (0.9, 0.85), "fullspeed": (1.0, 0.95), "custom": (0.9, 0.85)}
+
+
+def is_prerelease(version: str) -> bool:
+    """Whether a version is one before a release: it has letters after its numbers, such as 1.2.0-rc1."""
+    return any(c.isalpha() for c in version.lstrip("vV"))
 
 
 def parser() -> argparse.ArgumentParser:
@@ -56,18 +61,26 @@ def parser() -> argparse.ArgumentParser:
 
 def cores(args: argparse.Namespace) -> int:
     """Cores of a local session: by the preset, or ``--cpu`` per cent of them."""
-    share = args.cpu / 100 if getattr(args, "cpu", None) else THROTTLES[getattr(args, "throttle", "fullspeed")]
+    share = args.cpu / 100 if getattr(args, "cpu", None) else THROTTLES[getattr(args, "throttle", "fullspeed")][0]
     return max(1, int((os.cpu_count() or 1) * share))
 
 
+def memory(args: argparse.Namespace) -> int | None:
+    """MB of a local session: by the preset, or ``--ram`` per cent of all; Spark's own choice for other commands."""
+    if not hasattr(args, "throttle"):
+        return None
+    share = args.ram / 100 if args.ram else THROTTLES[args.throttle][1]
+    total = os.sysconf("SC_PAGE_SIZE") * os.sysconf("SC_PHYS_PAGES") >> 20
+    return max(1024, int(total * share))
+
+
 def session(args: argparse.Namespace) -> SparkSession:
     """The session of ``spark-submit``, or a local one of so many cores."""
     builder = SparkSession.builder.appName("mendspan").config("spark.sql.session.timeZone", "UTC")
     if "PYSPARK_GATEWAY_PORT" not in os.environ and "PYSPARK_SUBMIT_ARGS" not in os.environ:
         builder = builder.master(f"local[{cores(args)}]")
-        if getattr(args, "ram", None):
-            total = os.sysconf("SC_PAGE_SIZE") * os.sysconf("SC_PHYS_PAGES") >> 20
-            builder = builder.config("spark.driver.memory", f"{max(1024, int(total * args.ram / 100))}m")
+        if (mb := memory(args)) is not None:
+            builder = builder.config("spark.driver.memory", f"{mb}m")
     return builder.getOrCreate()
 
 

@@ -7,6 +7,7 @@ import shutil
 import subprocess
 from pathlib import Path
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -33,21 +34,26 @@ def offline(planned: DataFrame, present: DataFrame) -> DataFrame:
     return planned.join(present.select(F.col("path").alias("winner_path")), "winner_path", "left_anti")
 
 
-def difference(planned: DataFrame, ledger: DataFrame, present: DataFrame | None = None) -> DataFrame:
-    """The plan with an action: ``pending`` (winner offline), ``skip`` (same target and winner as before), ``replace`` (it had another target), ``write``.
+def difference(planned: DataFrame, ledger: DataFrame, present: DataFrame | None = None, existing: DataFrame | None = None) -> DataFrame:
+    """The plan with an action: ``pending`` (winner offline), ``skip`` (written to the same target before, and still there), ``replace`` (it had another target), ``write``.
 
-    The ledger (cluster_id, organized_from_id, target_path) is kept apart from the clusters, so it outlives reclustering.
+    The ledger (organized_from_id, target_path) is kept by winner, so it outlives reclustering. ``present``: paths (path) that can
+    be read, ``existing``: outputs (target_path) that are there; without them all are.
     """
-    old = ledger.select("cluster_id", "organized_from_id", F.col("target_path").alias("current_target"))
-    joined = planned.join(old, "cluster_id", "left")
+    old = ledger.select(F.col("organized_from_id").alias("winner_id"), F.col("target_path").alias("current_target"))
+    if existing is not None:
+        old = old.join(existing.select(F.col("target_path").alias("current_target"), F.lit(True).alias("_there")).distinct(), "current_target", "left")
+    else:
+        old = old.withColumn("_there", F.lit(True))
+    joined = planned.join(old, "winner_id", "left")
     here = F.lit(True)
     if present is not None:
         joined = joined.join(present.select(F.col("path").alias("winner_path"), F.lit(True).alias("_here")).distinct(), "winner_path", "left")
         here = F.coalesce("_here", F.lit(False))
-    same = (F.col("current_target") == F.col("target_path")) & (F.col("organized_from_id") == F.col("winner_id"))
+    same = (F.col("current_target") == F.col("target_path")) & F.coalesce("_there", F.lit(False))
     moved = F.col("current_target").isNotNull() & (F.col("current_target") != F.col("target_path"))
     action = F.when(~here, "pending").when(F.coalesce(same, F.lit(False)), "skip").when(moved, "replace").otherwise("write")
-    return joined.withColumn("action", action).drop("_here")
+    return joined.withColumn("action", action).drop("_here", "_there")
 
 
 def manifest(actions: DataFrame, now: Column) -> DataFrame:
@@ -57,8 +63,11 @@ def manifest(actions: DataFrame, now: Column) -> DataFrame:
 
 
 def totals(actions: DataFrame) -> DataFrame:
-    n = lambda a, name: F.count_if(F.col("action") == a).alias(name)
-    return actions.agg((F.count_if(F.col("action") == "write") + F.count_if(F.col("action") == "replace")).alias("written"), n("skip", "skipped"), n("replace", "replaced"), n("pending", "pending_offline"), F.count("*").alias("total_clusters"))
+    """Counts of what was done; ``error`` of an action is null where it went well."""
+    wrote = F.col("action").isin("write", "replace")
+    n = lambda c, name: F.count_if(c).alias(name)
+    good = F.col("error").isNull()
+    return actions.agg(n(wrote & good, "written"), n(F.col("action") == "skip", "skipped"), n((F.col("action") == "replace") & good, "replaced"), n(F.col("action") == "pending", "pending_offline"), n(~good, "errors"), F.count("*").alias("total_clusters"))
 
 
 def inject(donor: str, target: str, tool: str | None = None) -> bool:
@@ -66,7 +75,10 @@ def inject(donor: str, target: str, tool: str | None = None) -> bool:
     tool = tool or shutil.which("exiftool")
     if not tool or donor == target:
         return False
-    done = subprocess.run([tool, "-overwrite_original", "-TagsFromFile", donor, "-all:all", target], capture_output=True, timeout=30, check=False)
+    try:
+        done = subprocess.run([tool, "-overwrite_original", "-TagsFromFile", donor, "-all:all", target], capture_output=True, timeout=30, check=False)
+    except (OSError, subprocess.TimeoutExpired):
+        return False
     return done.returncode == 0
 
 
@@ -81,23 +93,45 @@ def quarantine(old: Path, root: Path, today: str) -> Path:
     return Path(shutil.move(str(old), str(place)))
 
 
-def copy_out(actions: DataFrame, output_root: str, today: str) -> None:
-    """Copies winners to their targets. A second attempt of a task repeats it harmlessly: it writes beside and renames."""
+def place(row, root: Path, today: str, attempt: int) -> None:
+    """Copies a winner to its target: it is written beside and renamed, so that a second attempt repeats it harmlessly."""
+    target = root / row.target_path
+    target.parent.mkdir(parents=True, exist_ok=True)
+    if row.action == "replace" and (root / row.current_target).exists():
+        quarantine(root / row.current_target, root, today)
+    beside = target.with_name(f"{target.name}.{attempt}.tmp")
+    shutil.copy2(row.winner_path, beside)
+    if row.donor_path and row.donor_path != row.winner_path:
+        inject(row.donor_path, str(beside))
+    os.replace(beside, target)
+
 
-    def task(rows) -> None:
+def copy_out(actions: DataFrame, output_root: str, today: str) -> DataFrame:
+    """(winner_id, error) of each action that writes; a file that fails doesn't stop the others."""
+
+    def task(batches):
         from pyspark import TaskContext
 
         attempt = TaskContext.get().taskAttemptId()
-        root = Path(output_root)
-        for r in rows:
-            target = root / r["target_path"]
-            target.parent.mkdir(parents=True, exist_ok=True)
-            if r["action"] == "replace" and (root / r["current_target"]).exists():
-                quarantine(root / r["current_target"], root, today)
-            beside = target.with_name(f"{target.name}.{attempt}.tmp")
-            shutil.copy2(r["winner_path"], beside)
-            if r["donor_path"] and r["donor_path"] != r["winner_path"]:
-                inject(r["donor_path"], str(beside))
-            os.replace(beside, target)
-
-    actions.filter(F.col("action").isin("write", "replace")).foreachPartition(task)
+        for rows in batches:
+            errors = []
+            for r in rows.itertuples():
+                try:
+                    place(r, Path(output_root), today, attempt)
+                    errors.append(None)
+                except OSError as e:
+                    errors.append(f"organize: {e}"[:200])
+            yield pd.DataFrame({"winner_id": rows["winner_id"], "error": pd.Series(errors, dtype=object)})
+
+    todo = actions.filter(F.col("action").isin("write", "replace")).select("winner_id", "action", "winner_path", F.coalesce("donor_path", F.lit("")).alias("donor_path"), "target_path", "current_target")
+    return todo.mapInPandas(task, "winner_id long, error string")
+
+
+def there(paths: DataFrame, root: str = "") -> DataFrame:
+    """Those of the paths (path) below ``root`` that exist."""
+
+    def task(batches):
+        for rows in batches:
+            yield rows[[os.path.exists(os.path.join(root, x)) for x in rows["path"]]]
+
+    return paths.select("path").mapInPandas(task, "path string")

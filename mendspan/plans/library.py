@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import os
 from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame
@@ -33,21 +34,25 @@ class Library:
         return directories.rollup(directories.discover(found.filter("NOT is_dir"), found.filter("is_dir")), ratio=ratio)
 
     def scan(self, source: str, label: str | None = None, exclude: tuple[str, ...] = (), include: DataFrame | None = None, resume: bool = True, skip_indexed: bool = True, force: bool = False) -> dict:
-        """Indexes media files of a tree; directories that were read whole are marked, and left out next time."""
+        """Indexes media files of a tree; directories that were read whole are marked, and left out next time.
+
+        A drive is a volume and a root on it, so that two roots of one volume keep apart what they hold.
+        """
         now = F.lit(now_iso())
-        serial = mediatree.volume_serial(source)
+        serial = f"{mediatree.volume_serial(source)}:{os.path.abspath(source)}"
         drive = self.spark.createDataFrame([(serial, label or mediatree.volume_label(source), source)], "volume_serial string, label string, source_root string")
         self.store.commit("drives", catalog.upsert_drives(self.store.read("drives"), drive, now))
         drive_id = F.conv(F.substring(F.sha2(F.lit(serial), 256), 1, 15), 16, 10).cast("long")
         done = self.store.read("scanned_dirs").filter(F.col("drive_id") == drive_id)
-        found = written(self.walk(source))
+        found = written(self.walk(source, exclude))
         dirs = found.filter("is_dir AND readable").select("relpath").distinct()
         wanted = dirs
         if exclude:
             wanted = directories.include_by_prefix(wanted, self.spark.createDataFrame([(x,) for x in exclude], "excluded string"))
         if include is not None:
             wanted = directories.include_exact(wanted, include)
-        pruned = written(dirs.join(wanted, "relpath", "left_anti"))
+        unread = dirs.join(wanted, "relpath", "left_anti").unionByName(self.spark.createDataFrame([(x,) for x in exclude], "relpath string"))
+        pruned = written(unread.unionByName(found.filter("is_dir AND NOT readable").select("relpath")))
         reading = written(directories.resume(wanted, done) if resume and not force else wanted)
         files = found.filter("NOT is_dir").withColumn("dir", directories.directory_of(F.col("relpath")))
         media = files.join(reading.select(F.col("relpath").alias("dir")), "dir", "left_semi").filter(names.is_candidate(F.col("relpath")))
@@ -75,7 +80,11 @@ class Library:
     def fullhash(self) -> dict:
         files = self.store.read("files").join(self.store.read("quick").select("file_id", "quick_hash"), "file_id")
         todo = fingerprints.colliding(files).join(self.store.read("full").filter("sha256 IS NOT NULL"), "file_id", "left_anti")
-        return self._hashed("full", "sha256", todo, "fullhash")
+        told = self._hashed("full", "sha256", todo, "fullhash")
+        # files that collide with none are through with this stage as well; a later collision takes them up again
+        alone = fingerprints.not_colliding(files).join(self.store.read("full"), "file_id", "left_anti")
+        self._stage("full", alone.select("file_id", F.lit(None).cast("string").alias("sha256"), F.lit(None).cast("string").alias("error")))
+        return told
 
     def _hashed(self, name: str, column: str, todo: DataFrame, stage: str) -> dict:
         done = written(content.hash_stage(todo, stage).withColumnRenamed("hash", column))
@@ -86,7 +95,7 @@ class Library:
         """Decodes, hashes and describes files not analysed yet; one that fails is marked and not tried again."""
         todo = self.store.read("files").join(self.store.read("analysis"), "file_id", "left_anti")
         todo = written(todo if limit is None else todo.orderBy("path").limit(limit))
-        paths = [r["path"] for r in todo.filter("kind = 'image'").select(F.regexp_extract("path", r"^(.*)/[^/]*$", 1).alias("path")).distinct().collect()]
+        paths = [r["path"] for r in todo.filter("kind <> 'video'").select(F.regexp_extract("path", r"^(.*)/[^/]*$", 1).alias("path")).distinct().collect()]
         looked = None
         if paths:
             images = self.spark.read.format("image").option("dropInvalid", False).load(paths)
@@ -103,9 +112,13 @@ class Library:
         return self.store.read("analysis").agg(F.count("*").alias("done"), F.count_if(~F.col("decode_ok")).alias("errors")).first().asDict()
 
     def files(self) -> DataFrame:
-        """Files with what all stages know of them."""
+        """Files with what all stages know of them: ``error`` is the last failure, ``last_stage_done`` the stage that is over."""
         s = self.store
-        return s.read("files").join(s.read("quick").drop("error"), "file_id", "left").join(s.read("full").drop("error"), "file_id", "left").join(s.read("analysis"), "file_id", "left")
+        quick, full = s.read("quick").withColumnRenamed("error", "quick_error"), s.read("full").select("file_id", "sha256", F.col("error").alias("full_error"), F.lit(True).alias("in_full"))
+        rows = s.read("files").join(quick, "file_id", "left").join(full, "file_id", "left").join(s.read("analysis"), "file_id", "left")
+        hashed = F.col("in_full") & F.col("full_error").isNull()
+        stage = F.when(F.col("date_source").isNotNull(), 3).when(hashed, 2).when(F.col("quick_hash").isNotNull(), 1).otherwise(0)
+        return rows.withColumn("last_stage_done", stage).withColumn("error", F.coalesce("full_error", "quick_error")).drop("quick_error", "full_error", "in_full")
 
     def cluster(self, hamming: int = clusters.HAMMING) -> dict:
         rows = written(self.files())
@@ -118,23 +131,25 @@ class Library:
         return self.store.commit("clusters", clusters.summary(rows).join(select.choose(rows), "cluster_id"))
 
     def organize(self, output: str, dry_run: bool = False) -> dict:
+        """Writes what the plan has and the output hasn't; a dry run tells the same counts and writes nothing."""
         now = now_iso()
-        planned = organize.without_clashes(organize.plan(self.store.read("clusters"), self.files()))
-        present = self.files().select("path") if dry_run else content.hash_stage(self.files(), "quickhash").filter("error IS NULL").join(self.files(), "file_id").select("path")
-        # the ledger is kept by winner, so it outlives reclustering
+        planned = written(organize.without_clashes(organize.plan(self.store.read("clusters"), self.files())))
         ledger = self.store.read("ledger")
-        actions = written(organize.difference(planned, ledger, present))
-        if not dry_run:
-            organize.copy_out(actions, output, now[:10])
-            organize.manifest(actions, F.lit(now)).write.mode("append").option("header", True).csv(f"{output}/manifest")
-            wrote = actions.filter(F.col("action").isin("write", "replace")).select("cluster_id", F.col("winner_id").alias("organized_from_id"), "target_path", F.lit(now).alias("organized_at"))
-            self._stage("ledger", wrote, "cluster_id")
-        return organize.totals(actions).first().asDict()
+        present = organize.there(planned.select(F.col("winner_path").alias("path")))
+        existing = organize.there(ledger.select(F.col("target_path").alias("path")), output).select(F.col("path").alias("target_path"))
+        actions = written(organize.difference(planned, ledger, present, existing))
+        if dry_run:
+            return organize.totals(actions.withColumn("error", F.lit(None).cast("string"))).first().asDict()
+        done = written(organize.copy_out(actions, output, now[:10]))
+        told = written(actions.join(done, "winner_id", "left"))
+        good = told.filter("error IS NULL")
+        organize.manifest(good, F.lit(now)).write.mode("append").option("header", True).csv(f"{output}/manifest")
+        wrote = good.filter(F.col("action").isin("write", "replace")).select("cluster_id", F.col("winner_id").alias("organized_from_id"), "target_path", F.lit(now).alias("organized_at"))
+        self._stage("ledger", wrote, "organized_from_id")
+        return organize.totals(told).first().asDict()
 
     def status(self) -> dict:
-        rows = self.files()
-        stage = F.when(F.col("date_source").isNotNull(), 3).when(F.col("sha256").isNotNull(), 2).when(F.col("quick_hash").isNotNull(), 1).otherwise(0)
-        return report.status(rows.withColumn("last_stage_done", stage).withColumn("error", F.lit(None).cast("string")), self.store.read("clusters")).first().asDict()
+        return report.status(self.files(), self.store.read("clusters")).first().asDict()
 
     def run_all(self, source: str, output: str, label: str | None = None, dry_run: bool = False) -> dict:
         out = {"scan": self.scan(source, label, resume=False, skip_indexed=False), "quickhash": self.quickhash(), "fullhash": self.fullhash(), "analyze": self.analyze(), "cluster": self.cluster()}

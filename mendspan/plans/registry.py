@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from mendspan.functions import hashes, integrity, metadata, names
@@ -370,8 +370,8 @@ _PLAN = (
     + f""", pl AS (SELECT cluster_id, winner_id, donor_id, effective_date_source, winner_path, donor_path, quality_score, {_TARGET} AS target_path FROM (
   SELECT w.cluster_id, w.winner_id, dn.donor_id, dt.effective_date, dt.effective_date_source, dt.effective_date_source AS date_source, wf.path AS winner_path, wf.mtime, wf.sha256, wf.ext, wf.quality_score, df.path AS donor_path, df.camera_make, df.camera_model, df.camera_serial
   FROM w JOIN dn ON w.cluster_id = dn.cluster_id JOIN dt ON dt.cluster_id = w.cluster_id JOIN f wf ON wf.file_id = w.winner_id JOIN f df ON df.file_id = dn.donor_id)),
-lg AS (SELECT cluster_id, CASE WHEN cluster_id % 4 = 1 THEN winner_id + 1 ELSE winner_id END AS organized_from_id, CASE WHEN cluster_id % 4 = 2 THEN 'old/' || target_path ELSE target_path END AS target_path FROM pl WHERE cluster_id % 2 = 0 OR cluster_id % 4 = 1),
-ac AS (SELECT pl.*, lg.target_path AS current_target, CASE WHEN winner_id % 6 = 0 THEN 'pending' WHEN lg.target_path = pl.target_path AND organized_from_id = winner_id THEN 'skip' WHEN lg.target_path <> pl.target_path THEN 'replace' ELSE 'write' END AS action FROM pl LEFT JOIN lg ON pl.cluster_id = lg.cluster_id)
+lg AS (SELECT cluster_id, CASE WHEN cluster_id % 4 = 1 THEN -winner_id - 1 ELSE winner_id END AS organized_from_id, CASE WHEN cluster_id % 4 = 2 THEN 'old/' || target_path ELSE target_path END AS target_path FROM pl WHERE cluster_id % 2 = 0 OR cluster_id % 4 = 1),
+ac AS (SELECT pl.*, lg.target_path AS current_target, CASE WHEN winner_id % 6 = 0 THEN 'pending' WHEN lg.target_path = pl.target_path AND organized_from_id % 5 <> 0 THEN 'skip' WHEN lg.target_path <> pl.target_path THEN 'replace' ELSE 'write' END AS action FROM pl LEFT JOIN lg ON pl.winner_id = lg.organized_from_id)
 """
 )
 
@@ -383,8 +383,9 @@ def _plan(spark, sf_dir):
 
 def _actions(spark, sf_dir):
     planned, rows = _plan(spark, sf_dir)
-    ledger = planned.filter("cluster_id % 2 = 0 OR cluster_id % 4 = 1").selectExpr("cluster_id", "CASE WHEN cluster_id % 4 = 1 THEN winner_id + 1 ELSE winner_id END AS organized_from_id", "CASE WHEN cluster_id % 4 = 2 THEN concat('old/', target_path) ELSE target_path END AS target_path")
-    return organize.difference(planned, ledger, rows.filter("file_id % 6 <> 0").select("path"))
+    ledger = planned.filter("cluster_id % 2 = 0 OR cluster_id % 4 = 1").selectExpr("cluster_id", "CASE WHEN cluster_id % 4 = 1 THEN -winner_id - 1 ELSE winner_id END AS organized_from_id", "CASE WHEN cluster_id % 4 = 2 THEN concat('old/', target_path) ELSE target_path END AS target_path")
+    existing = ledger.filter("organized_from_id % 5 <> 0").select("target_path")
+    return organize.difference(planned, ledger, rows.filter("file_id % 6 <> 0").select("path"), existing)
 
 
 @query(_PLAN + "SELECT cluster_id, winner_path, donor_path, target_path FROM pl")
@@ -408,9 +409,10 @@ def manifest(spark, sf_dir):
     return organize.manifest(_actions(spark, sf_dir), F.lit("2024-01-01T00:00:00Z")).withColumn("quality_score", F.round("quality_score", 6))
 
 
-@query(_PLAN + "SELECT count(*) FILTER (action IN ('write', 'replace')) AS written, count(*) FILTER (action = 'skip') AS skipped, count(*) FILTER (action = 'replace') AS replaced, count(*) FILTER (action = 'pending') AS pending_offline, count(*) AS total_clusters FROM ac")
+@query(_PLAN + "SELECT count(*) FILTER (action IN ('write', 'replace') AND error IS NULL) AS written, count(*) FILTER (action = 'skip') AS skipped, count(*) FILTER (action = 'replace' AND error IS NULL) AS replaced, count(*) FILTER (action = 'pending') AS pending_offline, count(error) AS errors, count(*) AS total_clusters FROM (SELECT *, CASE WHEN action IN ('write', 'replace') AND winner_id % 7 = 0 THEN 'organize: unreadable' END AS error FROM ac)")
 def organize_totals(spark, sf_dir):
-    return organize.totals(_actions(spark, sf_dir))
+    failed = F.col("action").isin("write", "replace") & (F.col("winner_id") % 7 == 0)
+    return organize.totals(_actions(spark, sf_dir).withColumn("error", F.when(failed, "organize: unreadable")))
 
 
 @query(_PLAN + "SELECT cluster_id, CASE WHEN k = 1 THEN target_path ELSE concat(regexp_replace(target_path, '\\.[^.]*$', ''), '_', CAST(k - 1 AS STRING), regexp_extract(target_path, '\\.[^.]*$')) END AS target_path FROM (SELECT cluster_id, target_path, row_number() OVER (PARTITION BY target_path ORDER BY cluster_id) AS k FROM pl)")
@@ -436,11 +438,14 @@ def top_clusters(spark, sf_dir):
     return report.top_clusters(clusters.summary(rows).join(select.dates(rows), "cluster_id")).select("cluster_id", "member_count", "effective_date", "label")
 
 
-@query(_CLUSTERS + "SELECT c.cluster_id, file_id, concat(CASE WHEN file_id = winner_id THEN '★ ' ELSE '' END, regexp_extract(path, '[^/]*$')) AS shown, CASE WHEN decode_ok IS NULL THEN '?' WHEN decode_ok THEN 'ok' ELSE 'fail' END AS decode FROM c JOIN w ON c.cluster_id = w.cluster_id")
+@query(_CLUSTERS + "SELECT c.cluster_id, file_id, concat(CASE WHEN file_id = winner_id THEN '★ ' ELSE '' END, regexp_extract(path, '[^/]*$')) AS shown, CAST(round_even(coalesce(quality_score, 0), 0) AS BIGINT) AS score, row_number() OVER (PARTITION BY c.cluster_id ORDER BY coalesce(quality_score, 0) DESC, file_id) AS nth, CASE WHEN decode_ok IS NULL THEN '?' WHEN decode_ok THEN 'ok' ELSE 'fail' END AS decode FROM c JOIN w ON c.cluster_id = w.cluster_id")
 def cluster_members(spark, sf_dir):
     rows = _clustered(spark, sf_dir)
     chosen = select.winners(rows).select(F.col("winner_id").alias("file_id"), F.lit(True).alias("is_winner"))
-    return report.members(rows.join(chosen, "file_id", "left")).select("cluster_id", "file_id", "shown", "decode")
+    by_score = Window.partitionBy("cluster_id").orderBy(F.coalesce("quality_score", F.lit(0.0)).desc(), "file_id")
+    nth = rows.select("file_id", F.row_number().over(by_score).cast("long").alias("nth"))
+    shown = report.members(rows.join(chosen, "file_id", "left")).join(nth, "file_id")
+    return shown.select("cluster_id", "file_id", "shown", F.col("score_text").cast("long").alias("score"), "nth", "decode")
 
 
 @query(_F + f"SELECT file_id, path, size, kind, quick_hash, {_META} FROM f WHERE file_id = 42")
@@ -448,7 +453,7 @@ def file_detail(spark, sf_dir):
     return report.detail(fingerprints.quick(described(raw_files(spark, sf_dir))), 42).select("file_id", "path", "size", "kind", "quick_hash", *_META.split(", "))
 
 
-@query(_T + "SELECT CAST(count(*) AS BIGINT) AS n, CAST(sum(total_files) AS BIGINT) AS files FROM tree")
+@query(_T + "SELECT row_number() OVER (ORDER BY string_split(relpath, '/')) AS nth, concat(repeat('  ', CAST(CASE WHEN relpath = '' THEN 0 ELSE len(string_split(relpath, '/')) END AS BIGINT)), CASE WHEN relpath = '' THEN '/' ELSE regexp_extract(relpath, '[^/]*$') END, '  (', CAST(media_files AS STRING), '/', CAST(total_files AS STRING), ' media)', CASE WHEN flagged THEN ' [noise]' ELSE '' END) AS line FROM tree")
 def tree_lines(spark, sf_dir):
     lines = directories.print_tree(_tree(spark, sf_dir))
-    return lines.agg(F.count("*").alias("n"), F.sum(F.regexp_extract("line", r"/(\d+) media\)", 1).cast("long")).alias("files"))
+    return lines.select(F.row_number().over(Window.orderBy("position")).cast("long").alias("nth"), "line")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 # Schemas of the catalogue's tables.
 SCHEMAS = {
@@ -46,3 +47,11 @@ class Store:
         columns = [x.split()[0] for x in SCHEMAS[name].split(", ")]
         rows.select(*columns).write.mode("overwrite").parquet(f"{self.folder}/{name}/v{new}")
         return self.read(name)
+
+    def get_meta(self, key: str, default: str | None = None) -> str | None:
+        found = self.read("meta").filter(F.col("key") == key).first()
+        return found["value"] if found else default
+
+    def set_meta(self, key: str, value: str) -> None:
+        rest = self.read("meta").filter(F.col("key") != key)
+        self.commit("meta", rest.unionByName(self.spark.createDataFrame([(key, value)], SCHEMAS["meta"])))

@@ -5,7 +5,7 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
-from mendspan.cli import cores, main, parser
+from mendspan.cli import cores, is_prerelease, main, memory, parser
 from mendspan.operators import catalog, clusters, directories, organize, select
 from mendspan.operators.graph import connected_components
 from mendspan.plans.library import Library
@@ -19,9 +19,9 @@ def tree(spark, rows):
 
 
 def test_rollup_and_noise(spark):
-    got = tree(spark, [("", 0, 0), ("photos", 50, 50), ("node_modules", 0, 0), ("node_modules/pkg", 800, 1)])
-    assert [(got[x]["total_files"], got[x]["media_files"], got[x]["flagged"]) for x in ("", "photos", "node_modules")] == [(850, 51, False), (50, 50, False), (800, 1, True)]
-    for n, media, flag in ((19, 0, False), (20, 0, True), (100, 1, False), (100, 0, True)):
+    got = tree(spark, [("", 2, 0), ("trip", 7, 6), ("trip/day1", 11, 11), ("cache/tiles", 300, 2)])
+    assert [(got[x]["total_files"], got[x]["media_files"], got[x]["flagged"]) for x in ("", "trip", "cache")] == [(320, 19, False), (18, 17, False), (300, 2, True)]
+    for n, media, flag in ((1, 0, False), (directories.LEAST_FILES - 1, 0, False), (directories.LEAST_FILES, 0, True), (250, 2, True), (250, 3, False)):
         assert tree(spark, [("d", n, media)])["d"]["flagged"] is flag
 
 
@@ -31,9 +31,9 @@ def test_missing_parents_and_repeats(spark):
 
 
 def test_default_selection(spark):
-    rows = directories.rollup(spark.createDataFrame([("", 0, 0), ("a", 0, 0), ("a/b", 30, 0), ("a/keepme", 5, 5)], TREE))
-    assert {r[0] for r in directories.default_checked(rows).collect()} == {"", "a", "a/keepme"}
-    assert directories.default_checked(rows, skip_noise=False).count() == 4
+    rows = directories.rollup(spark.createDataFrame([("", 1, 1), ("work/logs", 45, 0), ("work/scans", 9, 8), ("work/scans/old", 3, 3)], TREE))
+    assert {r[0] for r in directories.default_checked(rows).collect()} == {"", "work", "work/scans", "work/scans/old"}
+    assert directories.default_checked(rows, skip_noise=False).count() == 5
 
 
 def names(df):
@@ -178,14 +178,57 @@ def test_library(spark, album, tmp_path, capsys):
     again = library.organize(str(out))
     assert again["written"] == 0
     assert again["skipped"] == result["organize"]["written"]
-    assert library.status()["total_files"] == 6
+    told = library.status()
+    assert (told["total_files"], told["errors"], told["fullhashed"]) == (6, 1, 6)
+    # an output that was deleted is written again, a winner that is gone is pending
+    (out / written[0]).unlink()
+    winners = {r["target_path"]: r["organized_from_id"] for r in library.store.read("ledger").collect()}
+    paths = {r["file_id"]: r["path"] for r in library.files().collect()}
+    assert library.organize(str(out), dry_run=True)["written"] == 1
+    assert not (out / written[0]).exists()
+    assert library.organize(str(out), dry_run=True)["pending_offline"] == 1
+    os.rename(paths[winners[written[0]]], str(tmp_path / "moved"))
+    assert library.organize(str(out), dry_run=True)["pending_offline"] == 2
+    os.rename(str(tmp_path / "moved"), paths[winners[written[0]]])
+    image(spark, album.parent / "second.jpg", 9)
+    second = album.parent / "elsewhere"
+    (second / "one").mkdir(parents=True)
+    os.rename(str(album.parent / "second.jpg"), str(second / "one/a.jpg"))
+    assert library.scan(str(second))["inserted"] == 1
+    library.store.set_meta("k", "1")
+    library.store.set_meta("k", "2")
+    assert (library.store.get_meta("k"), library.store.get_meta("none", "d")) == ("2", "d")
+
+
+def test_organize_survives_a_failing_file(spark, tmp_path):
+    good = tmp_path / "a.jpg"
+    good.write_bytes(b"a")
+    rows = [(1, "write", str(good), None, "x/a.jpg", None), (2, "write", str(tmp_path / "gone.jpg"), None, "x/b.jpg", None), (3, "replace", str(good), None, "x/c.jpg", "x/old.jpg"), (4, "skip", str(good), None, "x/d.jpg", None)]
+    (tmp_path / "out/x").mkdir(parents=True)
+    (tmp_path / "out/x/old.jpg").write_bytes(b"o")
+    actions = spark.createDataFrame(rows, "winner_id long, action string, winner_path string, donor_path string, target_path string, current_target string")
+    done = {r["winner_id"]: r["error"] for r in organize.copy_out(actions, str(tmp_path / "out"), "2024-01-01").collect()}
+    assert [done[1], done[3]] == [None, None]
+    assert "gone.jpg" in done[2]
+    assert (tmp_path / "out/_replaced/2024-01-01/old.jpg").exists()
+
+
+def test_ledger_is_kept_by_winner(spark):
+    planned = spark.createDataFrame([(10, 5, "p", "t/a.jpg"), (20, 6, "q", "t/b.jpg"), (30, 7, "r", "t/c.jpg")], "cluster_id long, winner_id long, winner_path string, target_path string")
+    ledger = spark.createDataFrame([(11, 5, "t/a.jpg"), (20, 6, "s/b.jpg"), (30, 7, "t/c.jpg")], "cluster_id long, organized_from_id long, target_path string")
+    existing = spark.createDataFrame([("t/a.jpg",), ("s/b.jpg",)], "target_path string")
+    assert {r["winner_id"]: r["action"] for r in organize.difference(planned, ledger, None, existing).collect()} == {5: "skip", 6: "replace", 7: "write"}
 
 
 def test_throttles():
     n = os.cpu_count()
-    shares = {("--throttle", "background"): 0.25, ("--throttle", "fullspeed"): 1.0, ("--cpu", "50"): 0.5, (): 0.75}
+    shares = {("--throttle", "background"): 0.5, ("--throttle", "fullspeed"): 1.0, ("--cpu", "25"): 0.25, (): 0.9}
     assert all(cores(parser().parse_args(["quickhash", *a])) == max(1, int(n * share)) for a, share in shares.items())
     assert cores(parser().parse_args(["status"])) == n
+    mb = {x: memory(parser().parse_args(["analyze", "--throttle", x])) for x in ("background", "balanced", "fullspeed")}
+    assert mb["background"] < mb["balanced"] < mb["fullspeed"]
+    assert memory(parser().parse_args(["status"])) is None
+    assert [is_prerelease(x) for x in ("1.2.0", "v1.2", "1.2.0-rc1", "2.0b3")] == [False, False, True, True]
 
 
 def test_exif_reader():
