@@ -4,9 +4,11 @@ Base: e-mail addresses, IP addresses, card and phone numbers by their own patter
 overlapping. The patterns are written so that a text of any shape is read in linear time: runs are entered at their
 left edge only (or where the last match ended) and never given back.
 
-Bootstrapping: each token with a digit or ``@`` is an instance (its text without outer punctuation), each context it
-stands in a lexical pattern: the two words before it, or the word before with the word after. Base finds are seeds
-of score 1. In each of ``ROUNDS`` rounds a pattern's confidence is the mean score of its distinct instances
+Bootstrapping: an instance is a token with a digit or ``@``, joined with the tokens with digits that follow it (a spaced
+number is one instance), or a name of two capitalised words or more, without outer punctuation; each context it
+stands in is a lexical pattern: the two words before it, or the word before with the word after. Instances with a base find
+in them are seeds of score 1, and so are those that by their ``SHAPES`` can hardly be anything else (keys, social security and
+account numbers), which are spans of kind ``id`` at once. In each of ``ROUNDS`` rounds a pattern's confidence is the mean score of its distinct instances
 (one of score 0 added), if at least ``SUPPORT`` of them count as found; then an instance that is no seed scores
 1 - product of (1 - confidence) over its patterns. Instances of ``SURE`` or more in a pattern of ``SURE`` or more
 are new spans of kind ``id``, unless they overlap a base span.
@@ -31,8 +33,10 @@ PATTERNS = {
     "ip": r"(?:(?<![0-9])|\G)[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++",
     "card": r"[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
-    "token": r"(?:(?<!\S)|\G)[^\s0-9@]*+[0-9@]\S*+",
+    "token": r"(?:(?<!\S)|\G)(?:[^\s0-9@]*+[0-9@]\S*+(?:\x20[^\s0-9@\p{L}]{0,2}[0-9][^\s@]*+)*+|\p{Lu}\p{Ll}++(?:\x20\p{Lu}\p{Ll}++)++)",
 }
+#: Of instances that are seeds by themselves: random keys, social security numbers, account numbers.
+SHAPES = r"^(?:(?=(?:[^0-9]*+[0-9]){4})(?=[^A-Za-z]*+[A-Za-z])[A-Za-z0-9_+/=-]{24,}|[0-9]{3}-[0-9]{2}-[0-9]{4}|[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){3,7}(?:\x20?[A-Z0-9]{1,3})?)$"
 ROUNDS, SUPPORT, SURE, REACH, LEAST = 3, 3, 0.7, 64, 6
 LAST = (1 << 63) - 1
 
@@ -70,7 +74,7 @@ def read(docs: DataFrame) -> DataFrame:
     """Base finds and tokens with their places: (_doc, _digest, kind, start, end, found, before, after), from docs with _doc and _digest."""
     digit = F.col("text").rlike("[0-9]")
     at = F.contains(F.col("text"), F.lit("@"))
-    some = docs.filter(digit | at)
+    some = docs.filter(digit | at | F.col("text").rlike(r"\p{Lu}\p{Ll}+\x20\p{Lu}\p{Ll}"))
     each = [_found(k, {"email": at, "token": F.lit(True)}.get(k, digit)) for k in PATTERNS]
     rows = written(some.select("_doc", "_digest", F.explode(F.concat(*each)).alias("r")).select("_doc", "_digest", "r.*").dropDuplicates(["_doc", "_digest", "kind", "i"]))
     here = Window.partitionBy("_doc", "_digest", "kind").orderBy("i").rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -83,7 +87,7 @@ def _shape(word: Column) -> Column:
 
 
 def instances(spans: DataFrame) -> DataFrame:
-    """Tokens without outer punctuation: (_doc, _digest, start, end, token, seed, taken, patterns). ``seed``: a base span starts in it; ``taken``: one overlaps it."""
+    """Tokens without outer punctuation: (_doc, _digest, start, end, token, seed, taken, shaped, patterns). ``seed``: a base span starts in it, or it is ``shaped`` like one; ``taken``: one overlaps it."""
     lead = F.length(F.regexp_extract("found", r"^[^\p{L}\p{N}+]*", 0))
     core = F.regexp_extract("found", r"^[^\p{L}\p{N}+]*+(.*?)[^\p{L}\p{N}]*$", 1)
     tokens = spans.filter("kind = 'token'").select("_doc", "_digest", (F.col("start") + lead).alias("start"), core.alias("token"), "before", "after")
@@ -103,10 +107,11 @@ def instances(spans: DataFrame) -> DataFrame:
     left = F.filter(F.split(F.col("before"), r"\s+"), lambda w: w != "")
     right = F.filter(F.split(F.col("after"), r"\s+"), lambda w: w != "")
     one, two = _shape(F.element_at("left", -1)), _shape(F.get("left", F.size("left") - 2))
-    told = marked.select("_doc", "_digest", "start", "end", "token", starts_in.alias("seed"), overlaps.alias("taken"), left.alias("left"), right.alias("right"))
+    shaped = F.col("token").rlike(SHAPES) & ~overlaps
+    told = marked.select("_doc", "_digest", "start", "end", "token", (starts_in | shaped).alias("seed"), overlaps.alias("taken"), shaped.alias("shaped"), left.alias("left"), right.alias("right"))
     told = told.withColumn("one", F.when(F.size("left") > 0, one)).withColumn("two", F.when(F.size("left") > 1, two)).withColumn("next", F.when(F.size("right") > 0, _shape(F.get("right", F.lit(0)))))
     patterns = F.array_compact(F.array(F.when(F.col("two").isNotNull(), F.xxhash64(F.lit("before"), "two", "one")), F.when(F.col("one").isNotNull() & F.col("next").isNotNull(), F.xxhash64(F.lit("around"), "one", "next"))))
-    return told.filter(F.col("seed") | ~F.col("taken")).select("_doc", "_digest", "start", "end", "token", "seed", "taken", patterns.alias("patterns"))
+    return told.filter(F.col("seed") | ~F.col("taken")).select("_doc", "_digest", "start", "end", "token", "seed", "taken", "shaped", patterns.alias("patterns"))
 
 
 def bootstrap(found: DataFrame, rounds: int = ROUNDS, support: int = SUPPORT, sure: float = SURE, least: int = LEAST) -> DataFrame:
@@ -124,7 +129,8 @@ def bootstrap(found: DataFrame, rounds: int = ROUNDS, support: int = SUPPORT, su
     good = patterns.filter(F.col("confidence") >= sure).select("pattern")
     likely = scores.filter(~F.col("seed") & (F.col("score") >= sure)).select("instance")
     new = found.filter(~F.col("taken") & (F.length("token") >= least)).join(likely, "instance", "left_semi")
-    return new.select("_doc", "_digest", "start", "end", F.explode("patterns").alias("pattern")).join(good, "pattern", "left_semi").select("_doc", "_digest", "start", "end").distinct()
+    met = new.select("_doc", "_digest", "start", "end", F.explode("patterns").alias("pattern")).join(good, "pattern", "left_semi").select("_doc", "_digest", "start", "end")
+    return met.unionByName(found.filter("shaped").select("_doc", "_digest", "start", "end")).distinct()
 
 
 def find_private(docs: DataFrame) -> DataFrame:
@@ -142,4 +148,4 @@ def op1_private(spark, sf_dir: str) -> DataFrame:
     found = find_private(table(spark, sf_dir, "documents"))
     listed = lambda c: F.array_join(F.transform(c, lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))), ",")
     count = lambda k: F.size(F.filter("found", lambda x: x["kind"] == k)).cast("long").alias(f"n_{k}")
-    return found.select("doc_id", *[count(k) for k in KINDS], F.sha2(listed(F.filter("found", lambda x: x["base"])), 256).alias("base_sha256"), listed(F.col("found")).alias("spans"))
+    return found.select("doc_id", *[count(k) for k in (*KINDS, "id")], F.size("found").cast("long").alias("n_spans"), F.sha2(listed(F.filter("found", lambda x: x["base"])), 256).alias("base_sha256"), listed(F.col("found")).alias("spans"))

@@ -60,6 +60,24 @@ def test_private_bootstraps(spark):
     assert all(not found[i] for i in range(9, 12))
 
 
+def test_private_finds_spaced_numbers_names_and_keys(spark):
+    rng = random.Random(17)
+    noise = lambda: prose(rng, 8, 3000)
+    texts = [f"{noise()} call our office number +1 (555) 010-1{i:03d} today {noise()}" for i in range(12)]
+    texts += [f"{noise()} call our office number (555) 010-2{i:03d} today {noise()}" for i in range(12)]
+    texts += [f"{noise()} please write to u{i}@x{i}.org about it {noise()}" for i in range(12)]
+    texts += [f"{noise()} please write to {a} Miller about it {noise()}" for a in ("Anna", "Bert", "Carla")]
+    key = "".join(rng.choice("0123456789abcdef") for _ in range(40))
+    texts += [f'{noise()} token = "{key}" {noise()}', f"{noise()} his number 123-45-6789 {noise()}"]
+    clean = [f"{noise()} in 1984 and 300 years later The Old House {noise()}" for _ in range(5)]
+    rows = {r["doc_id"]: r["found"] for r in private.find_private(frame(spark, texts + clean)).collect()}
+    got = {i: [(texts + clean)[i][x["start"] : x["end"]] for x in found if x["kind"] == "id"] for i, found in rows.items()}
+    assert all(got[i] == [] for i in (*range(12), *range(24, 36), *range(len(texts), len(texts) + 5)))
+    assert [got[12 + i] for i in range(12)] == [[f"555) 010-2{i:03d}"] for i in range(12)]
+    assert [got[i] for i in (36, 37, 38)] == [["Anna Miller"], ["Bert Miller"], ["Carla Miller"]]
+    assert (got[39], got[40]) == ([key], ["123-45-6789"])
+
+
 def test_private_is_linear(spark):
     long = ["a" * 400_000, "1." * 200_000, "1 " * 200_000, "+1" * 200_000, "a@b." * 100_000, "@" * 400_000]
     assert private.find_private(frame(spark, long)).count() == 6
