@@ -2,7 +2,7 @@
 
 The automaton holds every run of consecutive tokens of all templates. A file's tokens are streamed through it and
 give, at each place, the longest match that ends there. Matches of ``least`` tokens or more are chained, by
-template, into spans with growing places in both file and template; a template is found where a chain covers
+template (texts and notices of public licences, ``mendspan.llm.notices``), into spans with growing places in both file and template; a template is found where a chain covers
 ``share`` of it. Tokens that no template has cut the stream, so only runs of known tokens are walked.
 
 The base phrases are found in the same stream of tokens, as whole runs. ``score`` is 1 if a base phrase stands in
@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from mendspan.llm.common import bounded_batches, only, table
+from mendspan.llm.notices import NOTICES
 from mendspan.llm.words import batches, buffers, spans
 
 # Phrases and labels of the base scan.
@@ -30,22 +31,6 @@ PHRASES = (
     ("cc by nc", "cc-by-nc"),
 )
 
-# Opening notices of public licences.
-TEMPLATES = (
-    ("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software"),
-    ("mit", "Released under the MIT License"),
-    ("apache-2", "Licensed under the Apache License, Version 2.0"),
-    ("apache-2", "you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0"),
-    ("apache-2", "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an AS IS BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied"),
-    ("cc-by-nc", "Licensed under CC BY-NC 4.0"),
-    ("cc-by-nc", "licensed under a Creative Commons Attribution-NonCommercial 4.0 International License"),
-    ("cc-by", "licensed under a Creative Commons Attribution 4.0 International License"),
-    ("gpl-3", "This work is licensed under the GNU General Public License, version 3"),
-    ("gpl-3", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version"),
-    ("bsd", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
-    ("mpl-2", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0"),
-)
-
 #: Bytes of words: digits, small letters and all beyond ASCII, once A-Z are lower-cased.
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 WORD_BYTES = np.array([c >= 0x80 or 48 <= c <= 57 or 97 <= c <= 122 for c in range(256)])
@@ -53,22 +38,22 @@ SPACED = bytes(c if WORD_BYTES[c] else 32 for c in LOWER)
 
 
 class SuffixAutomaton:
-    """Of several token sequences. ``ends[state]``: (template, end place) of one occurrence in each template."""
+    """Of several token sequences. ``ends[state]``: where its runs end in each template, in order."""
 
     def __init__(self, templates: list[list[int]]) -> None:
         self.next: list[dict[int, int]] = [{}]
         self.link, self.length = [-1], [0]
-        self.ends: list[dict[int, int]] = [{}]
+        self.ends: list[dict[int, list[int]]] = [{}]
         for number, tokens in enumerate(templates):
             last = 0
             for place, token in enumerate(tokens):
                 last = self._extend(last, token)
                 at = last
-                while at > 0 and number not in self.ends[at]:
-                    self.ends[at][number] = place + 1
+                while at > 0:
+                    self.ends[at].setdefault(number, []).append(place + 1)
                     at = self.link[at]
 
-    def _state(self, length: int, link: int, follow: dict[int, int], ends: dict[int, int]) -> int:
+    def _state(self, length: int, link: int, follow: dict[int, int], ends: dict[int, list[int]]) -> int:
         self.length.append(length)
         self.link.append(link)
         self.next.append(follow)
@@ -76,7 +61,7 @@ class SuffixAutomaton:
         return len(self.length) - 1
 
     def _clone(self, at: int, token: int, old: int) -> int:
-        new = self._state(self.length[at] + 1, self.link[old], dict(self.next[old]), dict(self.ends[old]))
+        new = self._state(self.length[at] + 1, self.link[old], dict(self.next[old]), {k: list(v) for k, v in self.ends[old].items()})
         self.link[old] = new
         while at >= 0 and self.next[at].get(token) == old:
             self.next[at][token] = new
@@ -112,7 +97,7 @@ class SuffixAutomaton:
 
 
 class Scanner:
-    def __init__(self, phrases=PHRASES, templates=TEMPLATES, least: int = 3, share: float = 0.6) -> None:
+    def __init__(self, phrases=PHRASES, templates=NOTICES, least: int = 3, share: float = 0.6) -> None:
         words = [(label, text.encode().translate(SPACED).split()) for label, text in templates]
         self.base = [(label, text.encode().translate(SPACED).split()) for text, label in phrases]
         self.vocabulary: dict[bytes, int] = {}
@@ -132,7 +117,7 @@ class Scanner:
         edges = np.flatnonzero(np.diff(np.concatenate([[0], known.view(np.int8), [0]])))
         places: list[int] = []
         base: set[str] = set()
-        matches: dict[int, list[tuple[int, int, int]]] = {}
+        matches: dict[int, list[tuple[int, int, list[int]]]] = {}
         for start, end in zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True):
             if end - start < self.shortest:
                 continue
@@ -150,26 +135,32 @@ class Scanner:
         return places, base, [x for number, found in matches.items() for x in self._chains(number, found)]
 
     def _matches(self, run: list[int], start: int, matches: dict) -> None:
-        """Longest matches that can't be carried on, as (end in file, length, end in template) by template."""
+        """For each template the matches that it can't carry on, as (end in file, length, ends in template)."""
         before, pending = 0, None
+        ends = self.automaton.ends
         for i, (state, length) in enumerate([*self.automaton.statistics(run), (0, 0)]):
-            if pending and length <= before and before >= self.least:
+            if pending and before >= self.least:
                 at, end = pending
-                for number, place in self.automaton.ends[at].items():
-                    matches.setdefault(number, []).append((end, before, place))
+                goes_on = ends[state] if length > before else {}
+                if len(goes_on) < len(ends[at]):
+                    for number, places in ends[at].items():
+                        if number not in goes_on:
+                            matches.setdefault(number, []).append((end, before, places))
             before, pending = length, (state, start + i + 1)
 
-    def _chains(self, number: int, found: list[tuple[int, int, int]]):
+    def _chains(self, number: int, found: list[tuple[int, int, list[int]]]):
         """Matches joined while they move on in both file and template, no further apart than the template is long."""
         size, chain = self.sizes[number], None
-        for end, length, place in found:
-            first, begin = end - length, place - length
-            if chain and first >= chain[1] and begin >= chain[2] and first - chain[1] <= size:
-                chain = [chain[0], end, place, chain[3] + length]
-                continue
+        for end, length, places in found:
+            first = end - length
+            if chain and first >= chain[1] and first - chain[1] <= size:
+                place = next((x for x in places if x - length >= chain[2]), None)
+                if place is not None:
+                    chain = [chain[0], end, place, chain[3] + length]
+                    continue
             if chain and chain[3] >= self.share * size:
                 yield self.labels[number], chain[0], chain[1], min(1.0, chain[3] / size)
-            chain = [first, end, place, length]
+            chain = [first, end, places[0], length]
         if chain and chain[3] >= self.share * size:
             yield self.labels[number], chain[0], chain[1], min(1.0, chain[3] / size)
 

@@ -364,8 +364,9 @@ def test_automaton_statistics():
         for i, (state, length) in enumerate(automaton.statistics(text)):
             best = max(k for k in range(i + 2) if k == 0 or any(text[i + 1 - k : i + 1] == p[j : j + k] for p in patterns for j in range(len(p))))
             assert length == best
-            for number, end in automaton.ends[state].items() if length else ():
-                assert patterns[number][end - length : end] == text[i + 1 - length : i + 1]
+            run = text[i + 1 - length : i + 1]
+            for number, ends in automaton.ends[state].items() if length else ():
+                assert ends == [j for j in range(length, len(patterns[number]) + 1) if patterns[number][j - length : j] == run]
 
 
 def test_license_base(spark):
@@ -390,12 +391,25 @@ def test_license_base(spark):
 
 def test_license_templates(spark):
     common.bounded_batches(spark)
-    label, text = licenses.TEMPLATES[0]
+    label, text = licenses.NOTICES[1]
     broken = f"prose before. {text.upper().replace(', FREE OF CHARGE,', ' free of all charge')} and after"
     rows = licenses.scan_licenses(frame(spark, [broken, "permission is hereby granted", "all prose of no licence"])).collect()
     assert [r["labels"] for r in sorted(rows, key=lambda r: r["doc_id"])] == [label, "", ""]
 
 
+def test_every_notice_and_an_edited_copy(spark):
+    """Each notice is found by its label, whole and with one word in ten changed."""
+    common.bounded_batches(spark)
+    rng = random.Random(23)
+    edited = [" ".join("changed" if i % 10 == 7 else w for i, w in enumerate(text.split())) for _, text in licenses.NOTICES]
+    texts = [f"{prose(rng, 9, 3000)} {t} {prose(rng, 9, 3000)}" for t in [*[t for _, t in licenses.NOTICES], *edited]]
+    got = {r["doc_id"]: r["labels"].split(",") for r in licenses.scan_licenses(frame(spark, texts)).collect()}
+    n = len(licenses.NOTICES)
+    for i, (label, _) in enumerate(licenses.NOTICES):
+        assert label in got[i]
+        assert label in got[n + i]
+
+
 def test_threshold_search_stops_early():
     rng = np.random.default_rng(1)
     rows = (rng.standard_normal((3000, 4)) * 1000).astype(np.int64)
