@@ -492,6 +492,30 @@ def test_lines_with_one_word_changed_are_met(spark):
         assert removed_copies(spark, [" ".join(x) for x in base], copies) >= 98
 
 
+def test_bitmaps_leave_no_similar_pair_out(spark):
+    """Pairs at all similarities: those that the exact edit similarity passes pass the bitmaps too, and few of the others do."""
+    rng = random.Random(8)
+    rows = []
+    for n in (5, 10, 31, 64, 120):
+        for edits in range(0, n, max(1, n // 10)):
+            for _ in range(5):
+                a = [f"w{rng.randrange(4000)}" for _ in range(n)]
+                b = list(a)
+                for _ in range(edits):
+                    i = rng.randrange(len(b))
+                    b[i : i + rng.choice((0, 1, 1, 1))] = rng.choice(([], [f"w{rng.randrange(4000)}"]))
+                    b = b or ["w"]
+                rows.append((" ".join(a), " ".join(b)))
+    rows += [(" ".join(f"a{rng.randrange(4000)}" for _ in range(40)), " ".join(f"b{rng.randrange(4000)}" for _ in range(40))) for _ in range(50)]
+    two = spark.createDataFrame(rows, "a string, b string")
+    words = {c: lines.words_of(F.col(c)) for c in "ab"}
+    sides = [F.struct(F.size(w).alias("n"), *lines.bitmaps(F.transform(w, lambda x: F.xxhash64(x)))) for c, w in words.items()]
+    told = two.select(lines.similar(lines.coded(words["a"]), lines.coded(words["b"])).alias("is"), *[x.alias(n) for x, n in zip(sides, "xy")]).select("is", lines.may_be_similar("x", "y").alias("may")).collect()
+    assert sum(r["is"] for r in told) > 50
+    assert all(r["may"] for r in told if r["is"])
+    assert not any(r["may"] for r in told[-50:])
+
+
 def test_long_lines_in_another_order_are_kept(spark):
     words = [f"word{i}number" for i in range(2400)]
     assert removed_copies(spark, [" ".join(words)], [" ".join(words[::-1]), " ".join(["other"] * 40 + words[40:])]) == 1
