@@ -559,6 +559,29 @@ def test_copies_of_a_line_and_lines_around_a_passage_make_few_pairs(spark):
     assert sum(counts) < 1000
 
 
+def test_lines_that_share_pairs_of_words_by_chance_are_not_listed(spark):
+    """Runs of two of few words stand in most lines: lists of them grow with the square of the lines. Copies are met all the same."""
+    rng = random.Random(41)
+    base = [prose(rng, n, 150).split() for n in [30] * 300 + [7] * 20]
+    copies = [" ".join("changed" if j == len(x) // 2 else w for j, w in enumerate(x)) for x in base[-40:]]
+    listed, nodes = lines.listed, []
+    lines.listed = lambda *a, **k: (out := listed(*a, **k), nodes.extend(x.select("node") for x in out), counts.append(lines._union_all(nodes).distinct().count()))[0]
+    counts = []
+    try:
+        assert removed_copies(spark, [" ".join(x) for x in base], copies) == 40
+    finally:
+        lines.listed = listed
+    assert counts[0] < 200
+
+
+@pytest.mark.parametrize("least, run", [(2, 2), (6, 3)])
+def test_runs_that_similar_lines_always_share(spark, least, run):
+    """From so many words on a run is left by whatever edits; with one word less edits can break all."""
+    assert lines.least_words_of(run) == least
+    whole = lambda n: n - run + 1 > run * int(0.2 * n + 1e-9)
+    assert all(whole(n) for n in range(max(least, run), 400))
+
+
 def test_long_lines_in_another_order_are_kept(spark):
     words = [f"word{i}number" for i in range(2400)]
     assert removed_copies(spark, [" ".join(words)], [" ".join(words[::-1]), " ".join(["other"] * 40 + words[40:])]) == 1
